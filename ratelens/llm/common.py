@@ -39,6 +39,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stash(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written as a compressed table in the shared folder and read again, and its path, for
+    unstash() once what follows is cut too."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def unstash(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Marks df for broadcast if it has at most BROADCAST_ROWS rows; else Spark shuffles.
     Give only cut() frames of narrow rows: they are counted."""
