@@ -66,6 +66,15 @@ def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is spark.ratelens.pii.key, or a public one where that is unset."""
+    from ratelens.llm.pii import pseudonymise
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pseudonymise(docs, spark.conf.get("spark.ratelens.pii.key", "a public key"))
+    return out.select("doc_id", F.size("pii").cast("long").alias("n_values"), "text")
+
+
 def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ratelens.llm.classifier import score_documents
 
@@ -77,7 +86,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_label_propagation_shards, op2_decontamination, op3_main_text, op4_host_rules, op5_token_ids_orc,
-        op6_packing, op7_line_dedup, op8_simhash_components, op10_quality_gam,
+        op6_packing, op7_line_dedup, op8_simhash_components, op9_feistel_pseudonyms,
+        op10_quality_gam,
     )
 }
 
