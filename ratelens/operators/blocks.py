@@ -105,8 +105,9 @@ def upsample_row(grid: DataFrame, keys: list[str], row: str, column: str, value:
     """Each sample as two, weighted 3:1 with the nearer neighbour (the border repeats), times 4."""
     w = Window.partitionBy(*keys, row).orderBy(column)
     v = F.col(value)
-    pair = F.array(F.struct((F.col(column) * 2).alias(column), (3 * v + F.coalesce(F.lag(v).over(w), v)).alias(value)), F.struct((F.col(column) * 2 + 1).alias(column), (3 * v + F.coalesce(F.lead(v).over(w), v)).alias(value)))
-    return grid.select(*keys, row, F.explode(pair).alias("p")).select(*keys, row, f"p.{column}", f"p.{value}")
+    g = grid.withColumns({"__a": F.coalesce(F.lag(v).over(w), v), "__b": F.coalesce(F.lead(v).over(w), v)})
+    pair = F.array(F.struct((F.col(column) * 2).alias(column), (3 * v + F.col("__a")).alias(value)), F.struct((F.col(column) * 2 + 1).alias(column), (3 * v + F.col("__b")).alias(value)))
+    return g.select(*keys, row, F.explode(pair).alias("p")).select(*keys, row, f"p.{column}", f"p.{value}")
 
 
 def activity(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
