@@ -140,3 +140,122 @@ def quantile_clusters(scores: list[int], k: int = 4, rounds: int = 8) -> tuple[l
             break
         centres = new
     return centres, [level(s) for s in scores]
+
+
+def adapt(freq: list[int], symbol: int, shift: int = 6) -> None:
+    """Moves a 2**-shift part of what other symbols have above one to `symbol`, in proportion and by
+    largest remainder, ties to the lower symbol; the sum stays."""
+    if freq[symbol] < 1:
+        raise ValueError("a symbol has no frequency")
+    spare = {s: f - 1 for s, f in enumerate(freq) if f > 1 and s != symbol}
+    available = sum(spare.values())
+    move = available >> shift
+    if not move:
+        return
+    share = {s: divmod(move * c, available) for s, c in spare.items()}
+    left = move - sum(q for q, _ in share.values())
+    extra = sorted((s for s in spare if share[s][0] < spare[s]), key=lambda s: (-share[s][1], s))[:left]
+    for s, (q, _) in share.items():
+        freq[s] -= q
+    for s in extra:
+        freq[s] -= 1
+    freq[symbol] += move
+
+
+def encode_adaptive(symbols: bytes, freq: list[int], shift: int = 6) -> bytes:
+    """encode_symbols() under a model that adapts after every symbol: the intervals are found
+    forwards, the bytes written backwards."""
+    model, spans = list(freq), []
+    for s in symbols:
+        spans.append((model[s], sum(model[:s])))
+        adapt(model, s, shift)
+    x, out = LOW, bytearray()
+    for f, c in reversed(spans):
+        top = ((LOW >> SCALE_BITS) << 8) * f
+        while x >= top:
+            out.append(x & 255)
+            x >>= 8
+        x = (x // f << SCALE_BITS) + x % f + c
+    out += x.to_bytes(4, "little")
+    return bytes(reversed(out))
+
+
+def decode_adaptive(data: bytes, n: int, freq: list[int], shift: int = 6) -> bytes:
+    model, out, mask = list(freq), bytearray(), (1 << SCALE_BITS) - 1
+    if len(data) < 4:
+        raise ValueError("truncated")
+    x, at = int.from_bytes(data[:4], "big"), 4
+    for _ in range(n):
+        low, c, s = x & mask, 0, 0
+        while c + model[s] <= low:
+            c += model[s]
+            s += 1
+        x = model[s] * (x >> SCALE_BITS) + low - c
+        while x < LOW:
+            if at >= len(data):
+                raise ValueError("truncated")
+            x = x << 8 | data[at]
+            at += 1
+        out.append(s)
+        adapt(model, s, shift)
+    if x != LOW or at != len(data):
+        raise ValueError("corrupt")
+    return bytes(out)
+
+
+def write_model(freq: list[int]) -> bytes:
+    """A model as bytes: symbol count (256 as 0), first symbol, gaps as 4-bit codes (15: the symbol
+    follows in 8 bits) packed high bits first, then all frequencies but the last in base 128."""
+    used = [s for s, f in enumerate(freq) if f]
+    bits = "".join(f"{b - a - 1:04b}" if b - a <= 15 else f"1111{b:08b}" for a, b in zip(used, used[1:]))
+    bits += "0" * (-len(bits) % 8)
+    out = bytearray([len(used) & 255, used[0]]) + bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8))
+    for s in used[:-1]:
+        v = freq[s]
+        while v >= 128:
+            out.append(v & 127 | 128)
+            v >>= 7
+        out.append(v)
+    return bytes(out)
+
+
+def read_model(data: bytes, scale: int = 1 << SCALE_BITS) -> list[int]:
+    """The frequencies of write_model(); raises on bytes that it would not have written."""
+    try:
+        count, used, bit = data[0] or 256, [data[1]], 16
+
+        def take(n: int) -> int:
+            nonlocal bit
+            v = 0
+            for _ in range(n):
+                v = v << 1 | data[bit >> 3] >> (7 - (bit & 7)) & 1
+                bit += 1
+            return v
+
+        while len(used) < count:
+            code = take(4)
+            used.append(used[-1] + code + 1 if code < 15 else take(8))
+            if used[-1] > 255 or used[-1] <= used[-2] or code == 15 and used[-1] <= used[-2] + 15:
+                raise ValueError("corrupt")
+        if take(-bit % 8):
+            raise ValueError("corrupt")
+        at, left, freq = bit >> 3, scale, [0] * 256
+        for i, s in enumerate(used[:-1]):
+            v = shift = 0
+            while True:
+                b = data[at]
+                at += 1
+                v |= (b & 127) << shift
+                if b < 128:
+                    break
+                shift += 7
+            if shift and not b or not 0 < v <= left - (count - i - 1):
+                raise ValueError("corrupt")
+            freq[s] = v
+            left -= v
+        freq[used[-1]] = left
+    except IndexError:
+        raise ValueError("truncated") from None
+    if at != len(data):
+        raise ValueError("corrupt")
+    return freq
