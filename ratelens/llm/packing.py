@@ -59,8 +59,8 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenize
         encoder = Encoder.of(path)
         for b in slices(batches):
             rows, parts = [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = encoder.encode(t) + end
+            for d, ids in zip(b.column(0).to_pylist(), encoder.encode_many(b.column(1).to_pylist())):
+                ids += end
                 salt = zlib.crc32(ids)
                 for s in range(0, len(ids), 4 * length):
                     p = ids[s : s + 4 * length]

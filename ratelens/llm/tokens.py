@@ -1,15 +1,18 @@
 """Token ids with a public tokenizer file, fast and with bounded memory.
 
 The byte-level pre-tokenizer never joins text across the place where white space begins a new
-piece, so a text is cut there (one optional space and the non-space run that follows, or white
-space), each different piece is encoded once by the tokenizers library and kept, as little-endian
-bytes, in a table of bounded size. Texts with characters on whose being white space Python and the
-library disagree go to the library whole.
+piece. So a text is cut there, each different piece is encoded once by the tokenizers library and
+kept, as little-endian bytes, in a table of bounded size. Regular texts (words parted by single
+spaces, lines by single line feeds) are cut by plain splitting, others by a pattern; texts with
+characters on whose being white space Python and the library may disagree go to the library whole.
 """
 
 from __future__ import annotations
 
+import gc
+import os
 import re
+from array import array
 from itertools import islice
 
 import numpy as np
@@ -21,8 +24,10 @@ from ratelens.llm.common import append, fields, slices
 
 _PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 _UNSURE = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
-#: Different pieces remembered by a worker, and the longest piece that is.
-PIECES, PIECE_CHARS = 200_000, 64
+#: A word of letters below U+0250 and the punctuation behind it, which the pre-tokenizer parts too.
+_WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\\[-`{-~]+)")
+#: Different pieces remembered by a worker, the longest piece that is, and characters worked on at once.
+PIECES, PIECE_CHARS, CHUNK_CHARS = 600_000, 64, 1 << 20
 
 
 def default_path() -> str:
@@ -37,11 +42,14 @@ class Encoder:
     _made: dict[str, "Encoder"] = {}
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        #: Pieces as they are, and words as they are behind a space.
+        self.plain: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -51,33 +59,107 @@ class Encoder:
         return cls._made[path]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if _UNSURE.search(text):
-            return self._whole([text])[0]
-        pieces = _PIECE.findall(text)
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        out: list[bytes] = []
+        was = gc.isenabled()
+        gc.disable()  # nothing here refers to itself, and the tables are large
         try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            pass
-        new = [x for x in dict.fromkeys(pieces) if x not in self.known]
-        own: dict[str, bytes] = {}
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            own.update(zip(part, self._whole(part)))
-        if len(self.known) + len(own) > PIECES:
-            self.known = dict(islice(self.known.items(), PIECES // 2))
-        get = self.known.get
-        out = b"".join([own[x] if x in own else get(x) or self._again(x) for x in pieces])
-        self.known.update((k, v) for k, v in islice(own.items(), PIECES // 2) if len(k) <= PIECE_CHARS)
+            while len(out) < len(texts):
+                i = j = len(out)
+                size = 0
+                while j < len(texts) and (j == i or size + len(texts[j] or "") <= CHUNK_CHARS):
+                    size += len(texts[j] or "")
+                    j += 1
+                out += self._chunk(texts[i:j])
+        finally:
+            if was:
+                gc.enable()
         return out
 
-    def _again(self, piece: str) -> bytes:
-        found = self.known[piece] = self._whole([piece])[0]
-        return found
+    def _chunk(self, texts: list[str | None]) -> list[bytes]:
+        plain, spaced = self.plain.get, self.spaced.get
+        out: list = []
+        # What is not known yet: places in a text's list of values, by piece.
+        open_plain: dict[str, list] = {"\n": []}
+        open_spaced: dict[str, list] = {}
+        for t in texts:
+            if not t:
+                out.append([])
+                continue
+            if _UNSURE.search(t):
+                out.append([self._whole([t])[0]])
+                continue
+            words = t.split()
+            if words == t.replace("\n", " ").split(" "):
+                values: list = []
+                for line in t.split("\n"):
+                    w = line.split(" ")
+                    if values:
+                        values.append(self.plain.get("\n"))
+                        if values[-1] is None:
+                            open_plain["\n"].append((values, len(values) - 1))
+                    at = len(values)
+                    values.append(plain(w[0]))
+                    if values[at] is None:
+                        open_plain.setdefault(w[0], []).append((values, at))
+                    del w[0]
+                    values += map(spaced, w)
+                    if None in values[at + 1 :]:
+                        for i, v in enumerate(values[at + 1 :]):
+                            if v is None:
+                                open_spaced.setdefault(w[i], []).append((values, at + 1 + i))
+            else:
+                pieces = _PIECE.findall(t)
+                values = list(map(plain, pieces))
+                for i, v in enumerate(values):
+                    if v is None:
+                        open_plain.setdefault(pieces[i], []).append((values, i))
+            out.append(values)
+        self._learn(open_plain, open_spaced)
+        for known, places in ((self.plain, open_plain), (self.spaced, open_spaced)):
+            for piece, at in places.items():
+                for values, i in at:
+                    values[i] = known[piece]
+        self._forget(open_plain, open_spaced)
+        return [b"".join(values) for values in out]
+
+    def _learn(self, plain, spaced) -> None:
+        """Encodes new pieces, those of letters and punctuation in two parts that recur more."""
+        double = []
+        new = {True: set(), False: set()}
+        for behind, pieces in ((False, plain), (True, spaced)):
+            for x in pieces:
+                m = _WORD.fullmatch(x)
+                if m:
+                    double.append((behind, x, *m.groups()))
+                    new[behind].add(m[1])
+                    new[False].add(m[2])
+                else:
+                    new[behind].add(x)
+        for behind, known in ((False, self.plain), (True, self.spaced)):
+            todo = [x for x in new[behind] if x not in known]
+            for i in range(0, len(todo), 4096):
+                part = todo[i : i + 4096]
+                known.update(zip(part, self._whole([" " + x for x in part] if behind else part)))
+        for behind, x, letters, marks in double:
+            known = self.spaced if behind else self.plain
+            known[x] = known[letters] + self.plain[marks]
+
+    def _forget(self, plain, spaced) -> None:
+        for known, pieces in ((self.plain, plain), (self.spaced, spaced)):
+            for x in pieces:
+                if len(x) > PIECE_CHARS:
+                    known.pop(x, None)
+        keep = PIECES // 2  # the first met are the frequent ones
+        if len(self.plain) > keep:
+            self.plain = dict(islice(self.plain.items(), keep // 2))
+        if len(self.spaced) > PIECES:
+            self.spaced = dict(islice(self.spaced.items(), keep))
 
 
 def lists(parts: list[bytes]) -> pa.Array:
@@ -96,7 +178,7 @@ def with_ids(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
     def run(batches):
         encoder = Encoder.of(path)
         for b in slices(batches):
-            ids = [encoder.encode(t) + end for t in b.column(b.schema.get_field_index(text)).to_pylist()]
+            ids = [x + end for x in encoder.encode_many(b.column(b.schema.get_field_index(text)).to_pylist())]
             yield append(b, keep, {out: lists(ids)})
 
     need = list(dict.fromkeys([*keep, text]))
