@@ -41,8 +41,9 @@ BOILERPLATE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner banners sponsor sponsored promo promotion cookie cookies consent gdpr notice notices "
     "menu menus nav navbar navigation sidebar sidebars breadcrumb breadcrumbs comment comments reply replies respond discussion disqus footer masthead "
     "share sharing social related recommended newsletter subscribe signup login popup modal overlay widget widgets toolbar pagination pager copyright "
-    "legal disclaimer alert skip topbar".split()
+    "legal disclaimer alert skip topbar adsense adbox adslot subnav topnav mainnav commentlist".split()
 )
+COMMENT_WORDS = frozenset("comment comments commentlist reply replies".split())
 HEADER_WORDS = frozenset(["header", "head"])
 ARTICLE_WORDS = frozenset("article content post entry story".split())
 
@@ -71,8 +72,13 @@ def _place(name: str, rest: str, inside: bool) -> tuple[bool, bool]:
             if value.lower() in BOILERPLATE_ROLES:
                 return True, False
             article |= value.lower() == "main"
-        if key in ("class", "id") and name not in ("body", "html", "article", "main"):
+        if key in ("class", "id") and name not in ("body", "html"):
             words = {w.lower() for w in _NAME_WORD.findall(value)}
+            if name in ("article", "main"):
+                # An article says little by its classes, unless it stands in another or is a comment.
+                if words & COMMENT_WORDS or inside and words & BOILERPLATE_WORDS:
+                    return True, False
+                continue
             if words & BOILERPLATE_WORDS or not inside and words & HEADER_WORDS:
                 return True, False
             article |= name in ("div", "section", "td") and bool(words & ARTICLE_WORDS)

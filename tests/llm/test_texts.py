@@ -133,6 +133,11 @@ def test_main_text():
     assert html_text.main_text("<article><p>cut of") == "cut of" and html_text.main_text("a < b <article>x < y</article>") == "x < y"
 
 
+def test_comments_marked_as_articles_are_no_text():
+    page = "<article class='post has-comments'><p>The text of it.</p></article><div><article class='comment' id=c1><p>I like the text of it very much indeed.</p></article></div>"
+    assert html_text.main_text(page) == "The text of it."
+
+
 def test_text_without_an_article():
     long = "The house of the man is on the hill and it is old, as all of them are in this part of the land. " * 3
     page = f"<div><a href=1>One</a> <a href=2>Two</a></div><h2>A title</h2><p>{long}</p><p>Yes.</p><p>{long}</p><div><a href=1>Three of the links of it</a></div>"
