@@ -44,6 +44,8 @@ BOILERPLATE_WORDS = frozenset(
     "legal disclaimer alert skip topbar adsense adbox adslot subnav topnav mainnav commentlist".split()
 )
 COMMENT_WORDS = frozenset("comment comments commentlist reply replies".split())
+#: Names that begin so tell a state ("no-sidebar"), not what the element is.
+STATE_WORDS = frozenset("has no with without hide show is not".split())
 HEADER_WORDS = frozenset(["header", "head"])
 ARTICLE_WORDS = frozenset("article content post entry story".split())
 
@@ -73,10 +75,15 @@ def _place(name: str, rest: str, inside: bool) -> tuple[bool, bool]:
                 return True, False
             article |= value.lower() == "main"
         if key in ("class", "id") and name not in ("body", "html"):
-            words = {w.lower() for w in _NAME_WORD.findall(value)}
+            words, first = set(), set()
+            for token in value.split():
+                found = [w.lower() for w in _NAME_WORD.findall(token)]
+                if found and found[0] not in STATE_WORDS:
+                    words.update(found)
+                    first.add(found[0])
             if name in ("article", "main"):
                 # An article says little by its classes, unless it stands in another or is a comment.
-                if words & COMMENT_WORDS or inside and words & BOILERPLATE_WORDS:
+                if first & COMMENT_WORDS or inside and words & BOILERPLATE_WORDS:
                     return True, False
                 continue
             if words & BOILERPLATE_WORDS or not inside and words & HEADER_WORDS:
