@@ -51,3 +51,23 @@ def test_follow_works_on_complete_keys_once(spark, tmp_path):
         follow(spark, work=work, **args)
     found = sorted((r.image, r.batch) for r in spark.read.parquet(args["out"]).collect())
     assert found == [("a", 1), ("c", 2)]
+
+
+def test_integer_transforms():
+    from ratelens.functions import transforms
+    from ratelens.functions.scalars import fnv1a
+
+    as_bytes = lambda n: transforms.dct_matrix(n).astype("<i2").tobytes()
+    assert fnv1a(as_bytes(4) + as_bytes(16)) == 0xB17CB6D69247A7E9 and fnv1a(as_bytes(32)) == 0xB27F5DA0E4D360B1
+    x = np.random.default_rng(0).integers(-255, 256, (4, 16, 16))
+    assert np.abs(transforms.inverse_dct(transforms.dct(x)) - x).max() <= 1
+
+
+def test_opponent_colours():
+    from ratelens.functions import transforms
+
+    v = np.stack(np.meshgrid(*[np.arange(0, 256, 17)] * 3, indexing="ij"), axis=-1).reshape(-1, 3).astype(np.uint8)
+    e = transforms.from_opponent(transforms.to_opponent(v)).astype(int) - v
+    assert 10 * np.log10(65025 / (e**2).mean()) == pytest.approx(46.242195944944, abs=1e-9) and np.abs(e).max() == 14
+    grey = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
+    assert set(map(tuple, transforms.to_opponent(grey)[:, 1:].tolist())) == {(94, 115)}
