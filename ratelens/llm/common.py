@@ -9,11 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ratelens.functions.workers import importable
+
 #: Rows a side may have, at a few dozen bytes each, to be broadcast.
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 300_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -44,6 +47,7 @@ def stash(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     unstash() once what follows is cut too."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    df.sparkSession._jvm.System.gc()  # Spark drops shuffle files when their plan is collected
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
