@@ -4,7 +4,7 @@ A line's tokens are the set of its five-word shingles; two lines match if their
 0.8 or more, and a line is removed if it matches an earlier one in the order of (doc_id, line).
 
 Tokens are ordered by rarity. A word's rarity is read from a table of fixed size that counts, over
-all documents, the words of each hash bucket; a shingle is as rare as its rarest word, which bounds
+all documents, the words of each hash bucket; a shingle is as rare as its first word, which bounds
 how often it occurs. Lines that match share one of their n - ceil(0.8 n) + 1 rarest tokens (prefix
 filter), are of similar length, and have enough tokens left after the shared one (position filter).
 
@@ -12,7 +12,8 @@ Each line sends its prefix tokens and, as one more token, the hash of its whole
 meet no second line and go at once. Lines with equal sets are then told by the set's hash, so that
 only the earliest of them takes part further. Every other line is first verified against the
 earliest line it meets under each token; only lines still without a match are verified against all
-others that the filters leave. So groups of near copies cost about a comparison a line.
+others that the filters leave, among them a parity sketch of the sets that bounds how many elements
+differ. So groups of near copies cost about a comparison a line.
 
 Tokens that may be frequent are dealt by a salt as well, in tasks of bounded size.
 """
@@ -30,13 +31,18 @@ from ratelens.llm.common import cut, small, stash, unstash
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5
 #: Size of the rarity table, steps for each doubling of a count, occurrences from which a token is salted, salts.
 BUCKETS, STEPS, HOT, SALTS = 16_384, 16, 200_000, 64
+#: 64-bit words of a set's parity sketch.
+SKETCH = 2
 _LOW = (1 << 48) - 1
 
 
 def _clean(text: str) -> Column:
-    """Words parted by single spaces."""
+    """Words parted by single spaces; plain searches tell which lines need the pattern."""
     t = F.col(text)
-    return F.when(t.rlike(r"[\t\n\x0B\f\r]|  |^ | $"), F.trim(F.regexp_replace(t, r"[\x20\t\n\x0B\f\r]+", " "))).otherwise(t)
+    odd = F.startswith(t, F.lit(" ")) | F.endswith(t, F.lit(" "))
+    for x in ("  ", "\t", "\n", "\x0b", "\f", "\r"):
+        odd = odd | F.contains(t, F.lit(x))
+    return F.when(odd, F.trim(F.regexp_replace(t, r"[\x20\t\n\x0B\f\r]+", " "))).otherwise(t)
 
 
 def _level(count: int) -> int:
@@ -46,7 +52,7 @@ def _level(count: int) -> int:
 def word_rarity(docs: DataFrame, text: str = "text") -> list[int]:
     """BUCKETS levels: how many words of all documents fall in each hash bucket, on a log scale."""
     words = docs.select(F.explode(F.split(F.translate(text, "\t\n\x0b\f\r", "     "), " ")).alias("w"))
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b")).count().collect()
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count().collect()
     levels = [0] * BUCKETS
     for r in counts:
         levels[r.b] = _level(r["count"])
@@ -56,11 +62,13 @@ def word_rarity(docs: DataFrame, text: str = "text") -> list[int]:
 def _tokens(lines: DataFrame, rarity: list[int]) -> DataFrame:
     """lines (.., words) with `tokens`, the sorted set: 16 bits of rarity above 48 bits of hash."""
     table = F.from_json(F.lit(json.dumps(rarity)), "array<int>")
-    h = lambda w: F.xxhash64(w)
-    code = F.transform("words", lambda w: F.shiftleft(F.get(table, F.pmod(h(w), F.lit(BUCKETS)).cast("int")).cast("long"), 48).bitwiseOR(h(w).bitwiseAND(F.lit(_LOW))))
-    five = ", ".join(f"code[i + {j}]" for j in range(WORDS))
-    shingles = F.expr(f"transform(sequence(0, size(code) - {WORDS}), i -> coalesce((least({five}) & {~_LOW}L) | (xxhash64({five}) & {_LOW}L), 0L))")
-    return lines.withColumn("code", code).withColumn("tokens", F.sort_array(F.array_distinct(shingles))).drop("words", "code")
+    def token(i: Column) -> Column:
+        five = [F.get("words", i + j) for j in range(WORDS)]
+        rare = F.get(table, F.xxhash64(five[0]).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
+        return F.coalesce(F.shiftleft(rare, 48).bitwiseOR(F.xxhash64(*five).bitwiseAND(F.lit(_LOW))), F.lit(0).cast("long"))
+
+    shingles = F.transform(F.sequence(F.lit(0), F.size("words") - WORDS), token)
+    return lines.withColumn("tokens", F.sort_array(F.array_distinct(shingles))).drop("words")
 
 
 def _lines(docs: DataFrame, keys: list[str]) -> DataFrame:
@@ -74,18 +82,28 @@ def _jaccard(a: Column, b: Column) -> Column:
     return (F.size(a) + F.size(b) - both) * NUMERATOR <= both * DENOMINATOR
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, keys: list[str]) -> DataFrame:
-    """Of pairs (line key, partner key) the lines that match their partner."""
-    me, it = [*keys, "ln"], [f"p_{c}" for c in (*keys, "ln")]
-    pairs = cut(pairs.select(*me, *it).distinct())
-    asked = pairs.select(*me).union(pairs.select(*it)).distinct().groupBy(*keys).agg(F.collect_list("ln").alias("lns"))
-    asked = cut(asked)
-    lines = docs.join(small(asked), keys).select(*keys, F.explode("lns").alias("ln"), F.split("text", "\n").alias("ls"))
-    words = lines.select(*me, F.element_at("ls", F.col("ln") + 1).alias("line")).select(*me, F.split(_clean("line"), " ").alias("w"))
+def _sets(asked: DataFrame, docs: DataFrame, keys: list[str]) -> DataFrame:
+    """For the lines asked for (keys, ln) the set of their shingles' hashes and a sketch of it: the
+    parity of how many fall in each of SKETCH * 64 bins. Sets differ by no fewer elements than
+    their sketches by bits."""
+    lns = asked.groupBy(*keys).agg(F.collect_list("ln").alias("lns"))
+    lines = docs.join(small(cut(lns)), keys).select(*keys, F.explode("lns").alias("ln"), F.split("text", "\n").alias("ls"))
+    words = lines.select(*keys, "ln", F.element_at("ls", F.col("ln") + 1).alias("line")).select(*keys, "ln", F.split(_clean("line"), " ").alias("w"))
     five = ", ".join(f"w[i + {j}]" for j in range(WORDS))
-    sets = cut(words.select(*me, F.expr(f"array_distinct(transform(sequence(0, size(w) - {WORDS}), i -> xxhash64({five}, 'v')))").alias("s")))
+    sets = words.select(*keys, "ln", F.expr(f"array_distinct(transform(sequence(0, size(w) - {WORDS}), i -> xxhash64({five}, 'v')))").alias("s"))
+    bits = [f"aggregate(s, 0L, (a, x) -> if((shiftright(x, 6) & {SKETCH - 1}) = {j}, a ^ shiftleft(1L, cast(x & 63 as int)), a))" for j in range(SKETCH)]
+    return sets.select("*", *[F.expr(b).alias(f"b{j}") for j, b in enumerate(bits)])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, me: list[str]) -> DataFrame:
+    """Of pairs (line, partner) the lines that match their partner."""
+    it = [f"p_{c}" for c in me]
+    pairs = cut(pairs.select(*me, *it).distinct())
+    need = cut(pairs.select(*me).union(pairs.select(*it)).distinct())
+    sets = sets.select(*me, "s").join(small(need), me, "left_semi")
     theirs = sets.select(*[F.col(c).alias(f"p_{c}") for c in me], F.col("s").alias("t"))
-    return pairs.join(sets, me).join(theirs, it).where(_jaccard(F.col("s"), F.col("t"))).select(*me).distinct()
+    found = pairs.join(sets, me).join(theirs, it)
+    return found.where(_jaccard(F.col("s"), F.col("t"))).select(*me).distinct()
 
 
 def matched_lines(docs: DataFrame, keys: list[str]) -> DataFrame:
@@ -110,27 +128,33 @@ def matched_lines(docs: DataFrame, keys: list[str]) -> DataFrame:
     first = sets.where("rank = 1 and salt >= 0").withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy(*me)))
     copies = cut(copies.union(first.where("rank > 1").select(*me)))
 
-    rest = met.where("pos > 0").join(small(copies), me, "left_anti").select("token", *me, "n", "pos")
+    # Tokens under which at least two different sets meet.
     by_token = Window.partitionBy("token").orderBy(*me)
-    lead = F.first(F.struct(*me, "n", "pos")).over(by_token.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rest, path2 = stash(rest.withColumns({"lead": lead, "rank": F.row_number().over(by_token), "next": F.lead("n").over(by_token)}).where("rank > 1 or next is not null").drop("next"), "line-rest")
-
-    def near(n: str, pos: str, m: str, at: str) -> str:
-        """Length and position filters; positions count from 1 in each sorted set."""
-        need = f"({NUMERATOR} * ({n} + {m}))"
+    rest = met.where("pos > 0").join(small(copies), me, "left_anti").select("token", *me, "n", "pos")
+    rest = rest.withColumns({"rank": F.row_number().over(by_token), "next": F.lead("n").over(by_token)}).where("rank > 1 or next is not null").drop("next")
+    rest, path2 = stash(rest, "line-rest")
+    sets, path3 = stash(_sets(rest.select(*me).distinct(), docs, keys), "line-sets")
+    sketch = [f"b{j}" for j in range(SKETCH)]
+    rest, path4 = stash(rest.join(sets.select(*me, *sketch), me), "line-rest-sketches")
+
+    def near(n: str, pos: str, own: list[str], m: str, at: str, theirs: list[str]) -> str:
+        """Length, position and sketch filters; positions count from 1 in each sorted set."""
+        most = NUMERATOR + DENOMINATOR
+        bits = " + ".join(f"bit_count({a} ^ {b})" for a, b in zip(own, theirs))
         return (
             f"{n} * {DENOMINATOR} >= {m} * {NUMERATOR} and {m} * {DENOMINATOR} >= {n} * {NUMERATOR}"
-            f" and (1 + least({n} - {pos}, {m} - {at})) * {NUMERATOR + DENOMINATOR} + least({pos} - 1, {at} - 1) * {NUMERATOR + DENOMINATOR} >= {need}"
+            f" and (1 + least({n} - {pos}, {m} - {at}) + least({pos} - 1, {at} - 1)) * {most} >= {NUMERATOR} * ({n} + {m})"
+            f" and ({bits}) * {most} <= {DENOMINATOR - NUMERATOR} * ({n} + {m})"
         )
 
-    led = rest.where("rank > 1").where(near("n", "pos", "lead.n", "lead.pos")).select(*me, *[F.col(f"lead.{c}").alias(f"p_{c}") for c in me])
-    matched = cut(_verified(led, docs, keys))
-    open_ = rest.where("rank > 2").select("token", *me, "n", "pos", "rank").join(small(matched), me, "left_anti")
-    theirs = rest.where("rank > 1").select(F.col("token").alias("p_token"), *[F.col(c).alias(f"p_{c}") for c in me], F.col("n").alias("p_n"), F.col("pos").alias("p_pos"), F.col("rank").alias("p_rank"))
-    pairs = open_.join(theirs, (F.col("token") == F.col("p_token")) & (F.col("p_rank") < F.col("rank")) & F.expr(near("n", "pos", "p_n", "p_pos")))
-    more = _verified(pairs, docs, keys)
-    found = cut(copies.union(matched).union(more).distinct())
-    for p in (path, path2):
+    lead = F.first(F.struct(*me, "n", "pos", *sketch)).over(by_token.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    led = rest.withColumn("lead", lead).where("rank > 1").where(near("n", "pos", sketch, "lead.n", "lead.pos", [f"lead.{b}" for b in sketch]))
+    matched = cut(_verified(led.select(*me, *[F.col(f"lead.{c}").alias(f"p_{c}") for c in me]), sets, me))
+    open_ = rest.where("rank > 2").join(small(matched), me, "left_anti")
+    theirs = rest.where("rank > 1").select(*[F.col(c).alias(f"p_{c}") for c in ("token", *me, "n", "pos", "rank", *sketch)])
+    pairs = open_.join(theirs, (F.col("token") == F.col("p_token")) & (F.col("p_rank") < F.col("rank")) & F.expr(near("n", "pos", sketch, "p_n", "p_pos", [f"p_{b}" for b in sketch])))
+    found = cut(copies.union(matched).union(_verified(pairs, sets, me)).distinct())
+    for p in (path, path2, path3, path4):
         unstash(spark, p)
     return found
 
