@@ -23,11 +23,13 @@ from pyspark.sql import types as T
 from ratelens.llm.common import append, fields, slices
 
 _PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-_UNSURE = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
+_UNSURE = "\x1c\x1d\x1e\x1f\x85\u180e\u200b\ufeff"
+#: What an ASCII text has if it isn't regular, besides white space at its ends.
+_IRREGULAR = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
 #: A word of letters below U+0250 and the punctuation behind it, which the pre-tokenizer parts too.
 _WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\\[-`{-~]+)")
 #: Different pieces remembered by a worker, the longest piece that is, and characters worked on at once.
-PIECES, PIECE_CHARS, CHUNK_CHARS = 600_000, 64, 1 << 20
+PIECES, PIECE_CHARS, CHUNK_CHARS = 500_000, 64, 1 << 20
 
 
 def default_path() -> str:
@@ -84,48 +86,55 @@ class Encoder:
     def _chunk(self, texts: list[str | None]) -> list[bytes]:
         plain, spaced = self.plain.get, self.spaced.get
         out: list = []
-        # What is not known yet: places in a text's list of values, by piece.
-        open_plain: dict[str, list] = {"\n": []}
-        open_spaced: dict[str, list] = {}
+        # Pieces not known yet, and where they go: (values, first place, pieces, their open places).
+        new_plain, new_spaced = {"\n"} - self.plain.keys(), set()
+        wait_plain: list[tuple] = []
+        wait_spaced: list[tuple] = []
+        feed = self.plain.get("\n")
         for t in texts:
             if not t:
                 out.append([])
                 continue
-            if _UNSURE.search(t):
+            ascii_ = t.isascii()
+            if any(c in t for c in (_UNSURE[:4] if ascii_ else _UNSURE)):
                 out.append([self._whole([t])[0]])
                 continue
-            words = t.split()
-            if words == t.replace("\n", " ").split(" "):
-                values: list = []
+            if ascii_:
+                regular = not (t[0].isspace() or t[-1].isspace() or any(x in t for x in _IRREGULAR))
+            else:
+                regular = t.split() == t.replace("\n", " ").split(" ")
+            values: list = []
+            if regular:
                 for line in t.split("\n"):
-                    w = line.split(" ")
                     if values:
-                        values.append(self.plain.get("\n"))
-                        if values[-1] is None:
-                            open_plain["\n"].append((values, len(values) - 1))
-                    at = len(values)
-                    values.append(plain(w[0]))
-                    if values[at] is None:
-                        open_plain.setdefault(w[0], []).append((values, at))
-                    del w[0]
-                    values += map(spaced, w)
-                    if None in values[at + 1 :]:
-                        for i, v in enumerate(values[at + 1 :]):
-                            if v is None:
-                                open_spaced.setdefault(w[i], []).append((values, at + 1 + i))
+                        if feed is None:
+                            wait_plain.append((values, len(values), ["\n"], [0]))
+                        values.append(feed)
+                    w = line.split(" ")
+                    first = plain(w[0])
+                    if first is None:
+                        new_plain.add(w[0])
+                        wait_plain.append((values, len(values), w, [0]))
+                    values.append(first)
+                    own = list(map(spaced, w[1:]))
+                    if None in own:
+                        places = [i for i, v in enumerate(own, 1) if v is None]
+                        new_spaced.update([w[i] for i in places])
+                        wait_spaced.append((values, len(values) - 1, w, places))
+                    values += own
             else:
                 pieces = _PIECE.findall(t)
-                values = list(map(plain, pieces))
-                for i, v in enumerate(values):
-                    if v is None:
-                        open_plain.setdefault(pieces[i], []).append((values, i))
+                values += map(plain, pieces)
+                places = [i for i, v in enumerate(values) if v is None]
+                new_plain.update([pieces[i] for i in places])
+                wait_plain.append((values, 0, pieces, places))
             out.append(values)
-        self._learn(open_plain, open_spaced)
-        for known, places in ((self.plain, open_plain), (self.spaced, open_spaced)):
-            for piece, at in places.items():
-                for values, i in at:
-                    values[i] = known[piece]
-        self._forget(open_plain, open_spaced)
+        self._learn(new_plain, new_spaced)
+        for known, waiting in ((self.plain, wait_plain), (self.spaced, wait_spaced)):
+            for values, at, pieces, places in waiting:
+                for i in places:
+                    values[at + i] = known[pieces[i]]
+        self._forget(new_plain, new_spaced)
         return [b"".join(values) for values in out]
 
     def _learn(self, plain, spaced) -> None:
@@ -156,8 +165,8 @@ class Encoder:
                 if len(x) > PIECE_CHARS:
                     known.pop(x, None)
         keep = PIECES // 2  # the first met are the frequent ones
-        if len(self.plain) > keep:
-            self.plain = dict(islice(self.plain.items(), keep // 2))
+        if len(self.plain) > PIECES // 5:
+            self.plain = dict(islice(self.plain.items(), PIECES // 10))
         if len(self.spaced) > PIECES:
             self.spaced = dict(islice(self.spaced.items(), keep))
 
