@@ -68,6 +68,7 @@ def slices(batches, rows: int = 256):
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+    pa.default_memory_pool().release_unused()  # workers live on in other stages
 
 
 def append(batch: pa.RecordBatch, keep: list[str], new: dict[str, pa.Array]) -> pa.RecordBatch:

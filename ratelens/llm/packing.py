@@ -21,7 +21,7 @@ from ratelens.llm.tokens import Encoder, default_path, lists
 
 LENGTH = 2048
 #: Pieces in a group, about.
-GROUP = 8192
+GROUP = 2048
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
