@@ -115,7 +115,7 @@ def activity(df: DataFrame, keys: list[str], order: list[str], value: str) -> Da
     class: below 2, 8, 18 and from there."""
     w = Window.partitionBy(*keys).orderBy(*order)
     d = F.col(value) - 2 * F.lag(value, 1).over(w) + F.lag(value, 2).over(w)
-    p = df.select(*keys, F.least(F.abs(d), F.lit(32)).alias("m"))
+    p = df.select(*keys, F.abs(d).alias("m")).withColumn("m", F.when(F.col("m") > 32, 32).otherwise(F.col("m")))
     s = p.groupBy(*keys).agg(F.sum("m").alias("s"), F.count("m").alias("n"))
     score = F.expr("case when n = 0 then 0 else cast((s * 256 + n div 2) div n as bigint) end")
     level = F.when(F.col("score") < 512, 0).when(F.col("score") < 2048, 1).when(F.col("score") < 4608, 2).otherwise(3)

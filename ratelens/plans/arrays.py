@@ -154,7 +154,7 @@ def downsample_upsample(spark, sf_dir):
 
 @query("q26_activity_levels", """
 with d as (select l_suppkey, abs(q - 2 * lag(q, 1) over w + lag(q, 2) over w) as m from (select l_suppkey, l_orderkey, l_linenumber, l_partkey, cast(l_quantity as bigint) as q from lineitem) window w as (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, q)),
-s as (select l_suppkey, sum(least(m, 32)) as s, count(m) as n from d group by l_suppkey),
+s as (select l_suppkey, sum(case when m > 32 then 32 else m end) as s, count(m) as n from d group by l_suppkey),
 a as (select l_suppkey, cast(case when n = 0 then 0 else (s * 256 + n // 2) // n end as bigint) as score from s)
 select l_suppkey, score, case when score < 512 then 0 when score < 2048 then 1 when score < 4608 then 2 else 3 end as level from a""")
 def activity_levels(spark, sf_dir):
