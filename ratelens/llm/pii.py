@@ -172,8 +172,8 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", inverse: bool =
     k = _quote(key)
     pseud = f"transform(transform(__found, m -> named_struct('value', m, 'kind', {_kind('m')})), v -> named_struct('kind', v.kind, 'value', v.value, 'pseudonym', if(v.kind is null, v.value, {_pseudonym('v.value', 'v.kind', k, inverse)})))"
     out = docs.select(*[c for c in docs.columns if c != "pii"])
-    # Only texts with a digit can hold a value, and only those with a find are taken apart.
-    out = out.withColumn("__found", F.expr(f"if({text} rlike '[0-9]', {found}, array())"))
+    # Only texts with a digit or an @ can hold a value, and only those with a find are taken apart.
+    out = out.withColumn("__found", F.expr(f"if({text} rlike '[0-9@]', {found}, array())"))
     out = out.withColumn("__all", F.expr(f"if(size(__found) > 0, {pseud}, array())"))
     changed = f"array_join(flatten(zip_with(split({text}, {_quote(ANY)}, -1), __all, (p, v) -> array(p, coalesce(v.pseudonym, '')))), '')"
     out = out.withColumn("pii", F.expr("coalesce(filter(__all, v -> v.kind is not null), array())"))

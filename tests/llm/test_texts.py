@@ -199,3 +199,11 @@ def test_cards_are_permuted_not_merged(spark):
 
 def test_sha_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_addresses_in_texts_without_digits(spark):
+    texts = ["write to anna.meyer@example.com", "write to anna.meyer@example.com by 10 May", "no address @ all"]
+    rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").orderBy("doc_id").collect()
+    assert [len(r.pii) for r in rows] == [1, 1, 0]
+    assert rows[0].pii[0].kind == "email" and rows[0].pii[0].pseudonym == rows[1].pii[0].pseudonym
+    assert "anna.meyer" not in rows[0].text and rows[2].text == texts[2]
