@@ -10,6 +10,7 @@ from ratelens.llm.common import new_path, table
 from ratelens.llm.decontaminate import drop_contaminated
 from ratelens.llm.line_dedup import dedup_lines
 from ratelens.llm.packing import pack
+from ratelens.llm.similar import similar_documents
 from ratelens.llm.simhash import keep_one
 
 
@@ -26,8 +27,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document of the least id."""
-    return keep_one(docs)
+    """Of each group of documents linked by five-word shingles, Jaccard 0.8 or more, the one of the least id."""
+    return keep_one(docs, find=similar_documents)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,19 +33,24 @@ _LOW31 = (1 << 31) - 1
 _CHECKS = [sum(1 << (p - 1) for p in range(1, 32) if p >> j & 1) for j in range(5)]
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """Unsigned. A bit is 1 if set in over half of the shingles' XXH64 (seed 42), repeats
-    included; fewer words than a shingle are one shingle; no words (or null) give 0."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle, repeats included; fewer words than a shingle are one
+    shingle; no words (or null) have none."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(w)
     h = xxhash.xxh64_intdigest
     if len(w) <= words:
-        return h(joined, 42)
+        return np.array([h(joined, 42)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
     starts = np.concatenate(([0], ends[: len(w) - words] + 1)).tolist()
-    hashes = np.fromiter((h(joined[s:e], 42) for s, e in zip(starts, ends[words - 1 :].tolist())), np.uint64, len(starts))
+    return np.fromiter((h(joined[s:e], 42) for s, e in zip(starts, ends[words - 1 :].tolist())), np.uint64, len(starts))
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """Unsigned. A bit is 1 if set in over half of the shingles' hashes; no words give 0."""
+    hashes = shingle_hashes(text, words)
     over = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 8192):
         over += np.unpackbits(hashes[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -201,10 +206,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without those that have a linked document of a lesser id; of rows that repeat an id
-    one stays. Rows whose id is null stay. All columns stay as they are."""
-    found = cut(near_duplicates(docs, doc_id, text))
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", find=near_duplicates) -> DataFrame:
+    """docs without those that have a document of a lesser id in their component, as `find` gives
+    it; of rows that repeat an id one stays. Rows whose id is null stay. All columns stay as they are."""
+    found = cut(find(docs, doc_id, text))
     gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
     n, many = gone.count(), found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
     kept = docs.join(small(gone, n), docs[doc_id] == F.col("__gone"), "left_anti")

@@ -1,0 +1,164 @@
+"""Near-duplicate documents by the Jaccard similarity of their five-word shingles, exactly.
+
+Two documents are linked if their shingle sets' Jaccard is 0.8 or more. Documents of equal sets are
+one node. Linked sets share one of their n - ceil(0.8 n) + 1 rarest shingles (prefix filter), and
+have enough left after it (length and position filters). A shingle is as rare as the count of its
+hash bucket in a sample of the documents; any order gives the same links.
+
+Every set is first compared with the least set it meets under each shingle. Components of these
+links need no further pairs inside, so only sets of different components that still meet are
+compared with each other: a large group of near copies costs about a comparison a document.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ratelens.llm.common import cut, slices, small, stash, unstash
+from ratelens.llm.components import connected_components
+from ratelens.llm.simhash import shingle_hashes
+
+WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5
+#: Buckets of the rarity table; one in so many documents is counted for it.
+BUCKETS, SAMPLE = 1 << 21, 16
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted hashes of the distinct shingles; fewer words than a shingle are one, no words none."""
+    return np.unique(shingle_hashes(text, WORDS))
+
+
+def rarity(docs: DataFrame) -> np.ndarray:
+    """For each bucket of hashes how far more of the sample's documents have one than on average,
+    as a log2; buckets under four times the average (or under four) are alike, at 0."""
+
+    def run(batches):
+        counts = np.zeros(BUCKETS, np.int64)
+        for b in slices(batches):
+            for t in b.column(0).to_pylist():
+                np.add.at(counts, (shingle_set(t) & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+        at = np.flatnonzero(counts > 1)  # a bucket met once in a task tells nothing
+        for i in range(0, len(at), 65536):
+            a = at[i : i + 65536]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(counts[a])], names=["bucket", "n"])
+
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text")
+    levels = np.zeros(BUCKETS, np.uint8)
+    counts = cut(sample.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")))
+    mean = max(1.0, (counts.agg(F.sum("n")).first()[0] or 0) / BUCKETS)
+    for r in counts.select("bucket", F.log2(F.col("n") / mean).cast("int").alias("level")).where("level > 1").collect():
+        levels[r.bucket] = r.level
+    return levels
+
+
+def _tokens(docs: DataFrame, levels: np.ndarray) -> DataFrame:
+    """One row (doc_id, set, n) at pos 0 for each document, and at pos 1.. the prefix tokens of its
+    set, once for each set of a task; b0 and b1 are the set's parity sketch."""
+    table = docs.sparkSession.sparkContext.broadcast(levels)
+
+    def run(batches):
+        rare, seen = table.value, set()
+        for b in slices(batches, 64):
+            ids, keys, ns, poss, toks, b0, b1 = [], [], [], [], [], [], []
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                s = shingle_set(t)
+                key = np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 42)).view(np.int64)
+                bits = np.bincount((s & np.uint64(127)).astype(np.int64), minlength=128) & 1
+                x, y = np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+                n = len(s)
+                tok = np.zeros(1, np.int64)
+                if n and int(key) not in seen:
+                    seen.add(int(key))
+                    order = np.lexsort((s, rare[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]))
+                    prefix = n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1
+                    tok = np.concatenate((tok, s[order[:prefix]].view(np.int64)))
+                k = len(tok)
+                ids.append(np.full(k, -1 if d is None else d)), keys.append(np.full(k, key)), ns.append(np.full(k, n, np.int32))
+                poss.append(np.arange(k, dtype=np.int32)), toks.append(tok), b0.append(np.full(k, x)), b1.append(np.full(k, y))
+                ids[-1] = pa.array(ids[-1], mask=np.full(k, d is None))
+            if keys:
+                rest = [pa.array(np.concatenate(c)) for c in (keys, ns, poss, toks, b0, b1)]
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *rest], names=["doc_id", "set", "n", "pos", "token", "b0", "b1"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set long, n int, pos int, token long, b0 long, b1 long")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (set, doc_id of one document that has it), each set once -> set and s, its shingles."""
+
+    def run(batches):
+        for b in slices(batches, 64):
+            found = [shingle_set(t) for t in b.column(0).to_pylist()]
+            keys = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in found], np.uint64).view(np.int64)
+            s = pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), s], names=["set", "s"])
+
+    ids = cut(wanted.where("doc_id is not null").select("doc_id").distinct())
+    texts = docs.join(small(ids), "doc_id", "left_semi").select("text").union(docs.where("doc_id is null").select("text"))
+    keys = cut(wanted.select("set"))
+    return texts.mapInArrow(run, "set long, s array<long>").join(small(keys), "set", "left_semi").dropDuplicates(["set"])
+
+
+_NEAR = (  # size, position and sketch filters of (n, pos, b0, b1) and (m, at, c0, c1)
+    f"n * {DENOMINATOR} >= m * {NUMERATOR} and m * {DENOMINATOR} >= n * {NUMERATOR}"
+    f" and (1 + least(n - pos, m - at) + least(pos, at) - 1) * {NUMERATOR + DENOMINATOR} >= {NUMERATOR} * (n + m)"
+    f" and (bit_count(b0 ^ c0) + bit_count(b1 ^ c1)) * {NUMERATOR + DENOMINATOR} <= {DENOMINATOR - NUMERATOR} * (n + m)"
+)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
+    """Of pairs (src, dst) those whose sets are similar."""
+    pairs = cut(pairs.distinct())
+    need = cut(pairs.select(F.col("src").alias("set")).union(pairs.select("dst")).distinct())
+    wanted = cut(first.join(small(need), "set", "left_semi").select("set", F.col("least").alias("doc_id")))
+    sets, path = stash(_sets(docs, wanted), "similar-sets")
+    both = pairs.join(sets.select(F.col("set").alias("src"), "s"), "src").join(sets.select(F.col("set").alias("dst"), F.col("s").alias("t")), "dst")
+    common = F.size(F.array_intersect("s", "t"))
+    found = cut(both.where((F.size("s") + F.size("t") - common) * NUMERATOR <= common * DENOMINATOR).select("src", "dst"))
+    unstash(docs.sparkSession, path)
+    return found
+
+
+def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, component_id): component_id is the least doc_id reachable over links, itself
+    included. One row for each row of docs. Texts without words (or null) are linked to each other
+    only; a component whose ids are all null has null."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    sent, path = stash(_tokens(docs, rarity(docs)), "similar-tokens")
+    rows = sent.where("pos = 0").select("doc_id", "set")
+    first = cut(rows.groupBy("set").agg(F.min("doc_id").alias("least")))
+
+    # Tokens under which different sets meet, each set once.
+    w = Window.partitionBy("token").orderBy("set")
+    met = sent.where("pos > 0").select("token", "set", "n", "pos", "b0", "b1")
+    met = met.withColumn("before", F.lag("set").over(w)).where("before is null or before <> set").drop("before")
+    met = met.withColumns({"rank": F.row_number().over(w), "next": F.lead("set").over(w)}).where("rank > 1 or next is not null").drop("next")
+    met, path2 = stash(met, "similar-met")
+
+    lead = met.where("rank = 1").selectExpr("token", "set as dst", "n as m", "pos as at", "b0 as c0", "b1 as c1")
+    led = met.where("rank > 1").join(lead, "token").where(_NEAR).select(F.col("set").alias("src"), "dst")
+    edges = _verified(led, docs, first)
+
+    # What still meets across the components of these links.
+    root = connected_components(edges)
+    rest = met.join(small(root), F.col("set") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set")).drop("node")
+    across = rest.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k"))
+    across = cut(across.where("lo <> hi and k > 2").select("token"))
+    rest = cut(rest.join(small(across), "token", "left_semi"))
+    theirs = rest.where("rank > 1").selectExpr("token", "set as dst", "n as m", "pos as at", "b0 as c0", "b1 as c1", "root as to")
+    pairs = rest.join(theirs, "token").where(f"root <> to and set > dst and {_NEAR}").select(F.col("set").alias("src"), "dst")
+    edges = edges.union(_verified(pairs, docs, first))
+
+    root = connected_components(edges)
+    of = first.join(small(root), F.col("set") == F.col("node"), "left").select("set", "least", F.coalesce("root", "set").alias("root"))
+    least = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = cut(of.join(least, "root").select("set", "component_id"))
+    found = cut(rows.join(small(named), "set").select("doc_id", "component_id"))
+    for p in (path, path2):
+        unstash(spark, p)
+    return found

@@ -1,0 +1,71 @@
+import random
+
+import pytest
+
+import corpus_pipeline
+from ratelens.llm import similar
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def _shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def _least(rows):
+    """Brute force over (doc_id, text): the least id of each row's component."""
+    sets = [_shingles(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b) and label[i] != label[j]:
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    return {d: min(e for (e, _), m in zip(rows, label) if m == k) for (d, _), k in zip(rows, label)}
+
+
+def _rows(seed):
+    rng = random.Random(seed)
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = [None, "", " \n", "One two", "one  TWO", "one two three"]
+    for _ in range(12):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.choice([6, 20, 60, 150, 400]))]
+        for _ in range(rng.randrange(1, 7)):  # copies, some of them of copies
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3, len(w) // 25])):
+                at = rng.randrange(len(w))
+                w[at : at + 1] = rng.choice([[], ["new"], [w[at], "more"]])
+            base = rng.choice([base, w])
+            texts.append(rng.choice([" ", "\n"]).join(w) + rng.choice(["", "", " " + passage]))
+    return list(zip(rng.sample(range(1000), len(texts)), texts))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_components_equal_brute_force(spark, seed, monkeypatch):
+    monkeypatch.setattr(similar, "SAMPLE", 1)
+    rows = _rows(seed)
+    df = spark.createDataFrame([(d, t, "en", "s", None) for d, t in rows], DOCS).repartition(3)
+    found = {r.doc_id: r.component_id for r in similar.similar_documents(df).collect()}
+    assert found == _least(rows)
+    kept = corpus_pipeline.near_duplicates(spark, df, "")
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(found.values()))
+
+
+def test_stage_finds_similar_texts_of_far_fingerprints(spark):
+    from ratelens.llm.simhash import fingerprint
+
+    words = [f"w{i}" for i in range(60)]
+    other = [*words[:20], "changed", *words[21:]]
+    texts = [" ".join(words), " ".join(other)]
+    assert 5 * len(_shingles(texts[0]) & _shingles(texts[1])) >= 4 * len(_shingles(texts[0]) | _shingles(texts[1]))
+    assert (fingerprint(texts[0]) ^ fingerprint(texts[1])).bit_count() > 3
+    df = spark.createDataFrame([(i, t, "en", "s", None) for i, t in enumerate(texts)], DOCS)
+    assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()] == [0]
+
+
+def test_edges(spark):
+    assert similar.similar_documents(spark.createDataFrame([], DOCS)).count() == 0
+    rows = [(None, "a b c d e f"), (None, "a b c d e f"), (5, "a b c d e f"), (None, "p q r s t")]
+    found = similar.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in found) == [(0, 0), (0, 5), (0, 5), (5, 5)]
