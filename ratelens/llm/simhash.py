@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratelens.llm.common import append, cut, fields, slices, small
+from ratelens.llm.common import append, cut, fields, slices, small, stash
 from ratelens.llm.components import connected_components
 
 THRESHOLD = 3
@@ -208,12 +208,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", find=near_duplicates) -> DataFrame:
     """docs without those that have a document of a lesser id in their component, as `find` gives
-    it; of rows that repeat an id one stays. Rows whose id is null stay. All columns stay as they are."""
+    it; of rows that repeat an id one stays. Rows whose id is null come last, in the order of a hash
+    of their texts. All columns stay as they are."""
+    if docs.where(F.col(doc_id).isNull()).limit(1).count():
+        last, kind = docs.agg(F.max(doc_id).cast("long")).first()[0], docs.schema[doc_id].dataType
+        after = F.lit(0 if last is None else last).cast("long") + 1 + F.monotonically_increasing_id()
+        null, _ = stash(docs.where(F.col(doc_id).isNull()).orderBy(F.xxhash64(text)).withColumn(doc_id, after), "null-ids")
+        named = docs.where(F.col(doc_id).isNotNull()).withColumn(doc_id, F.col(doc_id).cast("long"))
+        kept = keep_one(named.unionByName(null), doc_id, text, find)
+        return kept.withColumn(doc_id, F.when(F.col(doc_id) <= F.lit(last).cast("long"), F.col(doc_id)).cast(kind))
     found = cut(find(docs, doc_id, text))
     gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    n, many = gone.count(), found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
+    n, many = gone.count(), found.groupBy("doc_id").count().where("count > 1").limit(1).count()
     kept = docs.join(small(gone, n), docs[doc_id] == F.col("__gone"), "left_anti")
-    if many:
-        null, named = kept.where(F.col(doc_id).isNull()), kept.where(F.col(doc_id).isNotNull())
-        kept = named.dropDuplicates([doc_id]).unionByName(null)
-    return kept
+    return kept.dropDuplicates([doc_id]) if many else kept

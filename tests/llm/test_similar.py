@@ -4,6 +4,7 @@ import pytest
 
 import corpus_pipeline
 from ratelens.llm import similar
+from ratelens.llm.simhash import keep_one, near_duplicates
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -69,3 +70,13 @@ def test_edges(spark):
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (5, "a b c d e f"), (None, "p q r s t")]
     found = similar.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in found) == [(0, 0), (0, 5), (0, 5), (5, 5)]
+
+
+@pytest.mark.parametrize("find", [near_duplicates, similar.similar_documents])
+def test_one_row_stays_of_copies_without_ids(spark, find):
+    a, b, c = "a b c d e f g", "p q r s t u v", "one two three four five six"
+    rows = [(None, a), (None, a), (3, a), (None, b), (None, b), (None, b), (4, c), (4, c)]
+    kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), find=find)
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, b), (3, a), (4, c)]
+    kept = keep_one(spark.createDataFrame(rows[3:6], "doc_id long, text string"), find=find)
+    assert [(r.doc_id, r.text) for r in kept.collect()] == [(None, b)]
