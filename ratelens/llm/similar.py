@@ -1,13 +1,14 @@
 """Near-duplicate documents by the Jaccard similarity of their five-word shingles, exactly.
 
 Two documents are linked if their shingle sets' Jaccard is 0.8 or more. Documents of equal sets are
-one node. Linked sets share one of their n - ceil(0.8 n) + 1 rarest shingles (prefix filter), and
-have enough left after it (length and position filters). A shingle is as rare as the count of its
+one node. Linked sets share some of their n - ceil(0.8 n) + 1 rarest shingles (prefix filter), have
+enough left after each (length and position filters), and what they share of these together with
+all the others must suffice (count filter). A shingle is as rare as the count of its
 hash bucket in a sample of the documents; any order gives the same links.
 
-Every set is first compared with the least set it meets under each shingle. Components of these
-links need no further pairs inside, so only sets of different components that still meet are
-compared with each other: a large group of near copies costs about a comparison a document.
+Every set is first compared with the least sets it meets under many shingles. Components of these
+links need no further pairs inside, so only sets of different components that meet are compared
+with each other: a large group of near copies costs about a comparison a document.
 """
 
 from __future__ import annotations
@@ -56,35 +57,31 @@ def rarity(docs: DataFrame) -> np.ndarray:
 
 
 def _tokens(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """One row (doc_id, set, n) at pos 0 for each document, and at pos 1.. the prefix tokens of its
-    set, once for each set of a task; b0 and b1 are the set's parity sketch."""
+    """One row (doc_id, set, at) at place 0 for each document, and at places 1.. the prefix tokens
+    of its set, once for each set of a task; `at` is the set's size above 32 bits of the place."""
     table = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches):
         rare, seen = table.value, set()
         for b in slices(batches, 64):
-            ids, keys, ns, poss, toks, b0, b1 = [], [], [], [], [], [], []
+            ids, keys, ats, toks = [], [], [], []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = shingle_set(t)
                 key = np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 42)).view(np.int64)
-                bits = np.bincount((s & np.uint64(127)).astype(np.int64), minlength=128) & 1
-                x, y = np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64).tolist()
-                n = len(s)
-                tok = np.zeros(1, np.int64)
+                n, tok = len(s), np.zeros(1, np.int64)
                 if n and int(key) not in seen:
                     seen.add(int(key))
                     order = np.lexsort((s, rare[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]))
                     prefix = n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1
                     tok = np.concatenate((tok, s[order[:prefix]].view(np.int64)))
                 k = len(tok)
-                ids.append(np.full(k, -1 if d is None else d)), keys.append(np.full(k, key)), ns.append(np.full(k, n, np.int32))
-                poss.append(np.arange(k, dtype=np.int32)), toks.append(tok), b0.append(np.full(k, x)), b1.append(np.full(k, y))
-                ids[-1] = pa.array(ids[-1], mask=np.full(k, d is None))
+                ids.append(pa.array(np.full(k, d or 0, np.int64), mask=np.full(k, d is None)))
+                keys.append(np.full(k, key)), ats.append((n << 32) + np.arange(k, dtype=np.int64)), toks.append(tok)
             if keys:
-                rest = [pa.array(np.concatenate(c)) for c in (keys, ns, poss, toks, b0, b1)]
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *rest], names=["doc_id", "set", "n", "pos", "token", "b0", "b1"])
+                rest = [pa.array(np.concatenate(c)) for c in (keys, ats, toks)]
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *rest], names=["doc_id", "set", "at", "token"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set long, n int, pos int, token long, b0 long, b1 long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set long, at long, token long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -103,16 +100,22 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "set long, s array<long>").join(small(keys), "set", "left_semi").dropDuplicates(["set"])
 
 
-_NEAR = (  # size, position and sketch filters of (n, pos, b0, b1) and (m, at, c0, c1)
-    f"n * {DENOMINATOR} >= m * {NUMERATOR} and m * {DENOMINATOR} >= n * {NUMERATOR}"
-    f" and (1 + least(n - pos, m - at) + least(pos, at) - 1) * {NUMERATOR + DENOMINATOR} >= {NUMERATOR} * (n + m)"
-    f" and (bit_count(b0 ^ c0) + bit_count(b1 ^ c1)) * {NUMERATOR + DENOMINATOR} <= {DENOMINATOR - NUMERATOR} * (n + m)"
-)
+def _meeting(pairs: DataFrame) -> DataFrame:
+    """pairs (src, at, dst, by), a row for each shared prefix token -> those pairs (src, dst) that
+    pass the filters. One of the two has all it shares of its prefix in the other's prefix."""
+    rows = pairs.selectExpr("src", "dst", "at >> 32 as n", "by >> 32 as m", "at & 4294967295 as i", "by & 4294967295 as j")
+    most, left = NUMERATOR + DENOMINATOR, f"({NUMERATOR} * greatest(n, m) + {DENOMINATOR - 1}) div {DENOMINATOR} - 1"
+    rows = rows.where(
+        f"n * {DENOMINATOR} >= m * {NUMERATOR} and m * {DENOMINATOR} >= n * {NUMERATOR}"
+        f" and (least(n - i, m - j) + least(i, j)) * {most} >= {NUMERATOR} * (n + m)"
+    )
+    rows = rows.groupBy("src", "dst", "n", "m").agg(F.count("*").alias("c"))
+    return rows.where(f"(c + {left}) * {most} >= {NUMERATOR} * (n + m)").select("src", "dst")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
     """Of pairs (src, dst) those whose sets are similar."""
-    pairs = cut(pairs.distinct())
+    pairs = cut(pairs)
     need = cut(pairs.select(F.col("src").alias("set")).union(pairs.select("dst")).distinct())
     wanted = cut(first.join(small(need), "set", "left_semi").select("set", F.col("least").alias("doc_id")))
     sets, path = stash(_sets(docs, wanted), "similar-sets")
@@ -130,35 +133,36 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sent, path = stash(_tokens(docs, rarity(docs)), "similar-tokens")
-    rows = sent.where("pos = 0").select("doc_id", "set")
+    rows = cut(sent.where("at & 4294967295 = 0").select("doc_id", "set"))
     first = cut(rows.groupBy("set").agg(F.min("doc_id").alias("least")))
 
     # Tokens under which different sets meet, each set once.
     w = Window.partitionBy("token").orderBy("set")
-    met = sent.where("pos > 0").select("token", "set", "n", "pos", "b0", "b1")
+    met = sent.where("at & 4294967295 > 0").select("token", "set", "at")
     met = met.withColumn("before", F.lag("set").over(w)).where("before is null or before <> set").drop("before")
     met = met.withColumns({"rank": F.row_number().over(w), "next": F.lead("set").over(w)}).where("rank > 1 or next is not null").drop("next")
     met, path2 = stash(met, "similar-met")
+    unstash(spark, path)
 
-    lead = met.where("rank = 1").selectExpr("token", "set as dst", "n as m", "pos as at", "b0 as c0", "b1 as c1")
-    led = met.where("rank > 1").join(lead, "token").where(_NEAR).select(F.col("set").alias("src"), "dst")
-    edges = _verified(led, docs, first)
+    lead = met.where("rank = 1").selectExpr("token", "set as dst", "at as by")
+    led = met.where("rank > 1").withColumnRenamed("set", "src").join(lead, "token")
+    edges = _verified(_meeting(led), docs, first)
 
-    # What still meets across the components of these links.
+    # What meets across the components of these links.
     root = connected_components(edges)
-    rest = met.join(small(root), F.col("set") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set")).drop("node")
-    across = rest.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k"))
-    across = cut(across.where("lo <> hi and k > 2").select("token"))
-    rest = cut(rest.join(small(across), "token", "left_semi"))
-    theirs = rest.where("rank > 1").selectExpr("token", "set as dst", "n as m", "pos as at", "b0 as c0", "b1 as c1", "root as to")
-    pairs = rest.join(theirs, "token").where(f"root <> to and set > dst and {_NEAR}").select(F.col("set").alias("src"), "dst")
-    edges = edges.union(_verified(pairs, docs, first))
+    rest = met.drop("rank").join(small(root), F.col("set") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set")).drop("node")
+    across = rest.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    across = cut(across.where("lo <> hi").select("token"))
+    rest, path3 = stash(rest.join(small(across), "token", "left_semi"), "similar-across")
+    theirs = rest.selectExpr("token", "set as dst", "at as by", "root as to")
+    pairs = rest.withColumnRenamed("set", "src").join(theirs, "token").where("root <> to and src > dst")
+    edges = edges.union(_verified(_meeting(pairs), docs, first))
 
     root = connected_components(edges)
     of = first.join(small(root), F.col("set") == F.col("node"), "left").select("set", "least", F.coalesce("root", "set").alias("root"))
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
     named = cut(of.join(least, "root").select("set", "component_id"))
     found = cut(rows.join(small(named), "set").select("doc_id", "component_id"))
-    for p in (path, path2):
+    for p in (path2, path3):
         unstash(spark, p)
     return found
