@@ -8,11 +8,12 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ratelens.functions.workers import importable
 
-#: Rows a side may have, at a few dozen bytes each, to be broadcast.
-BROADCAST_ROWS = 300_000
+#: Bytes that a side may have, as counted before the join, to be broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +48,6 @@ def stash(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     unstash() once what follows is cut too."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    df.sparkSession._jvm.System.gc()  # Spark drops shuffle files when their plan is collected
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
@@ -56,11 +56,25 @@ def unstash(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Marks df for broadcast if it has at most BROADCAST_ROWS rows; else Spark shuffles.
-    Give only cut() frames of narrow rows: they are counted."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+def bytes_of(df: DataFrame) -> int:
+    """The size of df's rows: 16 bytes for each, 8 for each value and entry of an array, and strings."""
+    def size(f: T.StructField) -> F.Column:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.ArrayType):
+            return F.coalesce(F.size(c), F.lit(0)).cast("long") * 8 + 16
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0)).cast("long") + 16
+        if isinstance(f.dataType, T.StructType):
+            return F.lit(8 * len(f.dataType) + 16).cast("long")
+        return F.lit(8).cast("long")
+
+    return df.agg(F.sum(sum(map(size, df.schema.fields), F.lit(16).cast("long")))).first()[0] or 0
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Marks df for broadcast if its rows are counted to have at most BROADCAST_BYTES; else Spark
+    shuffles. Give only frames that are cheap to read: cut() or written ones."""
+    return F.broadcast(df) if bytes_of(df) <= BROADCAST_BYTES else df
 
 
 def slices(batches, rows: int = 256):

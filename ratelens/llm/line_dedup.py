@@ -1,19 +1,23 @@
 """Line deduplication by an exact set-similarity join, DataFrame and SQL functions only.
 
-A line's tokens are the set of its five-word shingles; two lines match if their sets' Jaccard is
-0.8 or more, and a line is removed if it matches an earlier one in the order of (doc_id, line).
+A line's tokens are the set of its five-word shingles (of a line of one to four words, its whole
+word sequence); two lines match if their sets' Jaccard is 0.8 or more, and a line is removed if it
+matches an earlier one in the order of (doc_id, line). Blank lines have no tokens and stay.
+
+Repeats of a word sequence go first: lines are grouped by 128 bits of hash, summed before the
+shuffle, so that a hot line is one row a task, and only the earliest of each takes part further.
 
 Tokens are ordered by rarity. A word's rarity is read from a table of fixed size that counts, over
-all documents, the words of each hash bucket; a shingle is as rare as its first word, which bounds
-how often it occurs. Lines that match share one of their n - ceil(0.8 n) + 1 rarest tokens (prefix
-filter), are of similar length, and have enough tokens left after the shared one (position filter).
+all documents, the pieces between spaces in each hash bucket; a shingle is as rare as its first
+word, which bounds how often it occurs. Lines that match share one of their n - ceil(0.8 n) + 1
+rarest tokens (prefix filter), are of similar length, have enough tokens left after each shared one
+(position filter), and share enough of their prefixes (count filter). Each line sends its prefix;
+most tokens meet no second line and go at once.
 
-Each line sends its prefix tokens and, as one more token, the hash of its whole set. Most tokens
-meet no second line and go at once. Lines with equal sets are then told by the set's hash, so that
-only the earliest of them takes part further. Every other line is first verified against the
-earliest line it meets under each token; only lines still without a match are verified against all
-others that the filters leave, among them a parity sketch of the sets that bounds how many elements
-differ. So groups of near copies cost about a comparison a line.
+A line is first verified against the one earliest line that it meets most often; only lines still
+without a match are held against all others that the filters leave, among them a bitmap of the
+prefix tokens that bounds how many are shared. So groups of near copies cost about a comparison a
+line. Verification fetches both lines and compares the words of their shingles.
 
 Tokens that may be frequent are dealt by a salt as well, in tasks of bounded size.
 """
@@ -23,7 +27,7 @@ from __future__ import annotations
 import json
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratelens.llm.common import cut, small, stash, unstash
@@ -31,27 +35,17 @@ from ratelens.llm.common import cut, small, stash, unstash
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5
 #: Size of the rarity table, steps for each doubling of a count, occurrences from which a token is salted, salts.
 BUCKETS, STEPS, HOT, SALTS = 16_384, 16, 200_000, 64
-#: 64-bit words of a set's parity sketch.
-SKETCH = 2
 _LOW = (1 << 48) - 1
 
 
-def _clean(text: str) -> Column:
-    """Words parted by single spaces; plain searches tell which lines need the pattern."""
-    t = F.col(text)
-    odd = F.startswith(t, F.lit(" ")) | F.endswith(t, F.lit(" "))
-    for x in ("  ", "\t", "\n", "\x0b", "\f", "\r"):
-        odd = odd | F.contains(t, F.lit(x))
-    return F.when(odd, F.trim(F.regexp_replace(t, r"[\x20\t\n\x0B\f\r]+", " "))).otherwise(t)
-
-
 def _level(count: int) -> int:
     return min(1023, int(STEPS * math.log2(count + 1)))
 
 
 def word_rarity(docs: DataFrame, text: str = "text") -> list[int]:
-    """BUCKETS levels: how many words of all documents fall in each hash bucket, on a log scale."""
-    words = docs.select(F.explode(F.split(F.translate(text, "\t\n\x0b\f\r", "     "), " ")).alias("w"))
+    """BUCKETS levels: how many pieces between spaces of all documents fall in each hash bucket, on
+    a log scale. A word at a line's end counts with its neighbour: only the order depends on it."""
+    words = docs.select(F.explode(F.split(text, " ")).alias("w"))
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count().collect()
     levels = [0] * BUCKETS
     for r in counts:
@@ -59,128 +53,140 @@ def word_rarity(docs: DataFrame, text: str = "text") -> list[int]:
     return levels
 
 
-def _tokens(lines: DataFrame, rarity: list[int]) -> DataFrame:
-    """lines (.., words) with `tokens`, the sorted set: 16 bits of rarity above 48 bits of hash."""
-    table = F.from_json(F.lit(json.dumps(rarity)), "array<int>")
-    def token(i: Column) -> Column:
-        five = [F.get("words", i + j) for j in range(WORDS)]
-        rare = F.get(table, F.xxhash64(five[0]).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
-        return F.coalesce(F.shiftleft(rare, 48).bitwiseOR(F.xxhash64(*five).bitwiseAND(F.lit(_LOW))), F.lit(0).cast("long"))
+def _lines(docs: DataFrame, keys: list[str], only: str) -> DataFrame:
+    """keys, ln and line, other white space as spaces, of the line numbers that the SQL `only` gives
+    for the array ls. One array of structs is exploded, so that no row holds the whole text."""
+    spaced = r"if(text rlike '[\\t\\x0B\\f\\r]', translate(text, '\t\u000B\u000C\r', '    '), text)"
+    each = f"transform({only}, i -> named_struct('ln', i, 'line', get(ls, i)))"
+    return docs.select(*keys, F.expr(f"inline(transform(array(split({spaced}, '\\n')), ls -> {each})[0])")).where("trim(line) <> ''")
 
-    shingles = F.transform(F.sequence(F.lit(0), F.size("words") - WORDS), token)
-    return lines.withColumn("tokens", F.sort_array(F.array_distinct(shingles))).drop("words")
 
+def _words(line: str) -> str:
+    return f"array_remove(split({line}, ' '), '')"
 
-def _lines(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, ln and words of every line of at least five words."""
-    lines = docs.select(*keys, F.posexplode(F.split("text", "\n")).alias("ln", "line"))
-    return lines.select(*keys, "ln", F.split(_clean("line"), " ").alias("words")).where(F.size("words") >= WORDS)
+
+def _prefixes(lines: DataFrame, keys: list[str], rarity: list[int]) -> DataFrame:
+    """keys, ln, n, pos (from 1) and token of each line's prefix. A token is 16 bits of rarity above
+    48 bits of hash. Arrays are bound by nested lambdas: Spark would paste them into each use."""
+    table = f"from_json('{json.dumps(rarity)}', 'array<int>')"
+    ranked = f"transform(transform({_words('line')}, w -> xxhash64(w)), h -> shiftleft(cast(get({table}, cast(h & {BUCKETS - 1} as int)) as bigint), 48) | (h & {_LOW}L))"
+    rest = ", ".join(f"get(ws, i + {j})" for j in range(1, WORDS))
+    shingles = f"transform(slice(ws, 1, greatest(size(ws) - {WORDS - 1}, 1)), (h, i) -> (h & {~_LOW}L) | (xxhash64(h, {rest}) & {_LOW}L))"
+    n = "size(ts)"
+    prefix = f"{n} - ({NUMERATOR} * {n} + {DENOMINATOR - 1}) div {DENOMINATOR} + 1"
+    made = f"transform({{}}, ts -> named_struct('n', {n}, 'prefix', slice(ts, 1, cast({prefix} as int))))"
+    sets = f"transform(array({ranked}), ws -> sort_array(array_distinct({shingles})))"
+    found = lines.select(*keys, "ln", F.expr(f"inline({made.format(sets)})"))
+    return found.select(*keys, "ln", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos") + 1)
+
+
+def _copies(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and ln of every line whose word sequence an earlier line has."""
+    me = [*keys, "ln"]
+    plain = F.when(
+        F.startswith("line", F.lit(" ")) | F.endswith("line", F.lit(" ")) | F.contains("line", F.lit("  ")), F.trim(F.regexp_replace("line", " +", " "))
+    ).otherwise(F.col("line"))
+    lines = _lines(docs, keys, "sequence(0, size(ls) - 1)").select(*me, plain.alias("line"))
+    hashed, path = stash(lines.select(*me, F.xxhash64("line").alias("a"), F.xxhash64(F.lit("second"), "line").alias("b")), "line-hashes")
+    first = cut(hashed.groupBy("a", "b").agg(F.min(F.struct(*me)).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"))
+    found = cut(hashed.join(small(first), ["a", "b"]).where(F.struct(*me) > F.col("first")).select(*me))
+    unstash(docs.sparkSession, path)
+    return found
 
 
-def _jaccard(a: Column, b: Column) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    return (F.size(a) + F.size(b) - both) * NUMERATOR <= both * DENOMINATOR
+def _by_document(lines: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """keys and an array of the lines' numbers, at most one for each line of the document."""
+    return cut(lines.groupBy(*keys).agg(F.sort_array(F.collect_list("ln")).alias(name)))
 
 
-def _sets(asked: DataFrame, docs: DataFrame, keys: list[str]) -> DataFrame:
-    """For the lines asked for (keys, ln) the set of their shingles' hashes and a sketch of it: the
-    parity of how many fall in each of SKETCH * 64 bins. Sets differ by no fewer elements than
-    their sketches by bits."""
-    lns = asked.groupBy(*keys).agg(F.collect_list("ln").alias("lns"))
-    lines = docs.join(small(cut(lns)), keys).select(*keys, F.explode("lns").alias("ln"), F.split("text", "\n").alias("ls"))
-    words = lines.select(*keys, "ln", F.element_at("ls", F.col("ln") + 1).alias("line")).select(*keys, "ln", F.split(_clean("line"), " ").alias("w"))
-    five = ", ".join(f"w[i + {j}]" for j in range(WORDS))
-    sets = words.select(*keys, "ln", F.expr(f"array_distinct(transform(sequence(0, size(w) - {WORDS}), i -> xxhash64({five}, 'v')))").alias("s"))
-    bits = [f"aggregate(s, 0L, (a, x) -> if((shiftright(x, 6) & {SKETCH - 1}) = {j}, a ^ shiftleft(1L, cast(x & 63 as int)), a))" for j in range(SKETCH)]
-    return sets.select("*", *[F.expr(b).alias(f"b{j}") for j, b in enumerate(bits)])
+def _without(gone: str) -> str:
+    return f"if({gone} is null, sequence(0, size(ls) - 1), array_except(sequence(0, size(ls) - 1), {gone}))"
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, me: list[str]) -> DataFrame:
-    """Of pairs (line, partner) the lines that match their partner."""
+def _verified(pairs: DataFrame, docs: DataFrame, keys: list[str]) -> DataFrame:
+    """Of pairs (line, partner) the lines whose shingles are similar to their partner's, by words."""
+    me = [*keys, "ln"]
     it = [f"p_{c}" for c in me]
-    pairs = cut(pairs.select(*me, *it).distinct())
-    need = cut(pairs.select(*me).union(pairs.select(*it)).distinct())
-    sets = sets.select(*me, "s").join(small(need), me, "left_semi")
-    theirs = sets.select(*[F.col(c).alias(f"p_{c}") for c in me], F.col("s").alias("t"))
-    found = pairs.join(sets, me).join(theirs, it)
-    return found.where(_jaccard(F.col("s"), F.col("t"))).select(*me).distinct()
+    pairs = cut(pairs.select(*me, *it))
+    need = _by_document(pairs.select(*me).union(pairs.select(*it)).distinct(), keys, "__asked")
+    lines = _lines(docs.join(small(need), keys), keys, "__asked").select(*me, F.expr(_words("line")).alias("w"))
+    lines, path = stash(lines, "line-words")
+    theirs = lines.select(*[F.col(c).alias(f"p_{c}") for c in me], F.col("w").alias("v"))
+    own = lambda w: f"array_distinct(if(size({w}) < {WORDS}, array(array_join({w}, ' ')), transform(sequence(1, size({w}) - {WORDS - 1}), i -> array_join(slice({w}, i, {WORDS}), ' '))))"
+    same = f"(size(s.a) + size(s.b) - c) * {NUMERATOR} <= c * {DENOMINATOR}"
+    match = f"transform(array(named_struct('a', {own('w')}, 'b', {own('v')})), s -> transform(array(size(array_intersect(s.a, s.b))), c -> {same})[0])[0]"
+    found = cut(pairs.join(lines, me).join(theirs, it).where(F.expr(match)).select(*me).distinct())
+    unstash(docs.sparkSession, path)
+    return found
+
 
+# SQL of what two lines of n and m tokens need: the overlap of similar sets, what lies behind a prefix.
+_NEED = f"(({NUMERATOR} * (n + m) + {NUMERATOR + DENOMINATOR - 1}) div {NUMERATOR + DENOMINATOR})"
+_BEHIND = f"(({NUMERATOR} * greatest(n, m) + {DENOMINATOR - 1}) div {DENOMINATOR} - 1)"
+_LENGTH = f"n * {DENOMINATOR} >= m * {NUMERATOR} and m * {DENOMINATOR} >= n * {NUMERATOR}"
+_POSITION = f"1 + least(n - pos, m - at) + least(pos - 1, at - 1) >= {_NEED}"
 
-def matched_lines(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """docs (keys, text) -> keys and ln of every line that matches an earlier one."""
-    spark = docs.sparkSession
+
+def matched_lines(docs: DataFrame, keys: list[str], copies: DataFrame) -> DataFrame:
+    """docs (keys, text) -> keys and ln of every line that matches an earlier one, copies aside."""
     me = [*keys, "ln"]
-    lines = _tokens(_lines(docs, keys), word_rarity(docs))
-    n = F.size("tokens")
-    prefix = n - F.floor((NUMERATOR * n + DENOMINATOR - 1) / F.lit(DENOMINATOR)).cast("int") + 1
-    # Position 0 is the hash of the whole set, under the rarity of the set's rarest token.
-    whole = F.element_at("tokens", 1).bitwiseAND(F.lit(~_LOW)).bitwiseOR(F.xxhash64("tokens", F.lit("set")).bitwiseAND(F.lit(_LOW)))
-    sent = lines.select(*me, n.alias("n"), F.posexplode(F.concat(F.array(whole), F.slice("tokens", F.lit(1), prefix))).alias("pos", "token"))
+    it = [f"p_{c}" for c in me]
+    lines = _lines(docs.join(small(_by_document(copies, keys, "__gone")), keys, "left"), keys, _without("__gone"))
+    sent = _prefixes(lines, keys, word_rarity(docs))
     hot = F.shiftright("token", 48) >= _level(HOT)
     sent = sent.withColumn("salt", F.when(hot, F.pmod(F.xxhash64(*me), F.lit(SALTS)).cast("int")).otherwise(F.lit(-1)))
     w = Window.partitionBy("token", "salt").orderBy(*me)
-    met = sent.withColumns({"rank": F.row_number().over(w), "next": F.lead("n").over(w)}).where("rank > 1 or next is not null or salt >= 0")
-    met, path = stash(met.drop("next"), "line-tokens")
-
-    # Equal sets: all but the earliest are removed.
-    sets = met.where("pos = 0")
-    copies = sets.where("rank > 1").select(*me)
-    first = sets.where("rank = 1 and salt >= 0").withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy(*me)))
-    copies = cut(copies.union(first.where("rank > 1").select(*me)))
-
-    # Tokens under which at least two different sets meet.
-    by_token = Window.partitionBy("token").orderBy(*me)
-    rest = met.where("pos > 0").join(small(copies), me, "left_anti").select("token", *me, "n", "pos")
-    rest = rest.withColumns({"rank": F.row_number().over(by_token), "next": F.lead("n").over(by_token)}).where("rank > 1 or next is not null").drop("next")
-    rest, path2 = stash(rest, "line-rest")
-    sets, path3 = stash(_sets(rest.select(*me).distinct(), docs, keys), "line-sets")
-    sketch = [f"b{j}" for j in range(SKETCH)]
-    rest, path4 = stash(rest.join(sets.select(*me, *sketch), me), "line-rest-sketches")
-
-    def near(n: str, pos: str, own: list[str], m: str, at: str, theirs: list[str]) -> str:
-        """Length, position and sketch filters; positions count from 1 in each sorted set."""
-        most = NUMERATOR + DENOMINATOR
-        bits = " + ".join(f"bit_count({a} ^ {b})" for a, b in zip(own, theirs))
-        return (
-            f"{n} * {DENOMINATOR} >= {m} * {NUMERATOR} and {m} * {DENOMINATOR} >= {n} * {NUMERATOR}"
-            f" and (1 + least({n} - {pos}, {m} - {at}) + least({pos} - 1, {at} - 1)) * {most} >= {NUMERATOR} * ({n} + {m})"
-            f" and ({bits}) * {most} <= {DENOMINATOR - NUMERATOR} * ({n} + {m})"
-        )
-
-    lead = F.first(F.struct(*me, "n", "pos", *sketch)).over(by_token.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    led = rest.withColumn("lead", lead).where("rank > 1").where(near("n", "pos", sketch, "lead.n", "lead.pos", [f"lead.{b}" for b in sketch]))
-    matched = cut(_verified(led.select(*me, *[F.col(f"lead.{c}").alias(f"p_{c}") for c in me]), sets, me))
-    open_ = rest.where("rank > 2").join(small(matched), me, "left_anti")
-    theirs = rest.where("rank > 1").select(*[F.col(c).alias(f"p_{c}") for c in ("token", *me, "n", "pos", "rank", *sketch)])
-    pairs = open_.join(theirs, (F.col("token") == F.col("p_token")) & (F.col("p_rank") < F.col("rank")) & F.expr(near("n", "pos", sketch, "p_n", "p_pos", [f"p_{b}" for b in sketch])))
-    found = cut(copies.union(matched).union(_verified(pairs, sets, me)).distinct())
-    for p in (path, path2, path3, path4):
-        unstash(spark, p)
+    lead = F.first(F.struct(*me, "n")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    met = sent.withColumns({"lead": lead, "rank": F.row_number().over(w), "next": F.lead("n").over(w)})
+    met, path = stash(met.where("rank > 1 or next is not null or salt >= 0").drop("rank", "next"), "line-tokens")
+
+    # Salted tokens: leads of all salts, singles go.
+    whole = met.where("salt >= 0").groupBy("token").agg(F.min("lead").alias("least"), F.count("*").alias("c"))
+    whole = cut(whole)
+    rest = met.join(small(whole), "token", "left").where("c is null or c > 1").withColumn("lead", F.coalesce("least", "lead")).select("token", *me, "n", "pos", "lead")
+    marks = rest.groupBy(*me).agg(F.bit_or(F.expr("shiftleft(1L, cast(token & 63 as int))")).alias("bits"), F.count("*").alias("k"))
+
+    # Each line against the lead that it meets most often.
+    led = rest.where(F.struct(*me) > F.col("lead").dropFields("n")).groupBy(*me, "n", "lead").agg(F.count("*").alias("c"))
+    best = led.groupBy(*me, "n").agg(F.max(F.struct("c", "lead")).alias("x")).select(*me, "n", F.col("x.lead.n").alias("m"), "x.c", *[F.col(f"x.lead.{c}").alias(f"p_{c}") for c in me])
+    matched = _verified(best.where(f"{_LENGTH} and c + {_BEHIND} >= {_NEED}").select(*me, *it), docs, keys)
+
+    # What is still open against all earlier lines.
+    rest, path2 = stash(rest.drop("lead").join(marks, me), "line-rest")
+    theirs = rest.select("token", *[F.col(c).alias(f"p_{c}") for c in me], F.col("n").alias("m"), F.col("pos").alias("at"), F.col("bits").alias("p_bits"), F.col("k").alias("p_k"))
+    earlier = " or ".join("(" + " and ".join([f"p_{c} = {c}" for c in me[:i]] + [f"p_{me[i]} < {me[i]}"]) + ")" for i in range(len(me)))
+    shared = "least(k - bit_count(bits & ~p_bits), p_k - bit_count(p_bits & ~bits))"
+    pairs = rest.join(small(matched), me, "left_anti").join(theirs, "token").where(f"({earlier}) and {_LENGTH} and {_POSITION} and {shared} + {_BEHIND} >= {_NEED}")
+    pairs = pairs.groupBy(*me, *it, "n", "m").agg(F.count("*").alias("c")).where(f"c + {_BEHIND} >= {_NEED}")
+    found = cut(matched.union(_verified(pairs, docs, keys)).distinct())
+    for p in (path, path2):
+        unstash(docs.sparkSession, p)
     return found
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs, `text` without the lines that match an earlier one, and n_lines and n_removed (columns
     of these names are replaced). Other lines stay as they are, in order, and a document all of
-    whose lines go keeps a row with an empty text. Lines of fewer than five words have no shingle
-    and stay. A null text stays null (no lines); an empty one is one empty line. Null ids come
-    first. Rows that share a doc_id are ordered by a hash of their texts; rows equal in both lose
-    the same lines, not each other's."""
-    many = docs.groupBy(doc_id).count().where("count > 1").limit(1).count() > 0
+    whose lines go keeps a row with an empty text. A null text stays null (no lines); an empty one
+    is one empty line. doc_id is an integer; null ids come first. Rows that share a doc_id are
+    ordered by a hash of their texts, and rows equal in both lose each other's lines like any."""
     key = {"__d": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))}
-    if many:
-        key["__h"] = F.xxhash64(text)
-    keys = list(key)
-    plain = docs.select(*[c.alias(k) for k, c in key.items()], F.col(text).alias("text")).where("text is not null")
-    if many:
-        plain = plain.distinct()
-    gone = cut(matched_lines(plain, keys).groupBy(*keys).agg(F.sort_array(F.collect_list("ln")).alias("__gone")))
-    out = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")]).withColumns(key).join(small(gone), keys, "left")
-    lines = F.split(F.col(text), "\n")
-    kept = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(
-        F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    )
-    return (
-        out.withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")})
-        .withColumn(text, kept).drop(*keys, "__gone")
-    )
+    docs = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")])
+    columns = docs.columns
+    if docs.groupBy(doc_id).count().where("count > 1").limit(1).count():
+        docs = cut(docs.withColumns({**key, "__h": F.xxhash64(text), "__i": F.monotonically_increasing_id()}))
+        keys = ["__d", "__h", "__i"]
+    else:
+        docs, keys = docs.withColumns(key), list(key)
+    plain = docs.select(*keys, F.col(text).alias("text")).where("text is not null")
+    copies = _copies(plain, keys)
+    gone = _by_document(copies.union(matched_lines(plain, keys, copies)), keys, "__gone")
+    t = F.col(text)
+    out = docs.join(small(gone), keys, "left").withColumns({
+        "n_lines": F.when(t.isNull(), 0).otherwise(F.octet_length(t) - F.octet_length(F.replace(t, F.lit("\n"), F.lit(""))) + 1).cast("long"),
+        "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"),
+        "__t": t,
+    })
+    kept = f"if(__gone is null, __t, transform(array(split(__t, '\\n')), ls -> array_join(transform({_without('__gone')}, i -> get(ls, i)), '\\n'))[0])"
+    return out.withColumn(text, F.expr(kept)).select(*columns, "n_lines", "n_removed")
+

@@ -39,7 +39,7 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 OP7 = rf"""
 with l as (select doc_id, unnest(string_split(text, chr(10))) as s, unnest(range(len(string_split(text, chr(10))))) as ln from documents),
 w as (select row_number() over (order by doc_id, ln) as id, doc_id, ln, s, regexp_extract_all(s, '{_SPACE}') as w from l),
-sh as (select distinct id, array_to_string(w[i : i + 4], ' ') as t from (select id, w, unnest(range(1, len(w) - 3)) as i from w where len(w) >= 5)),
+sh as (select distinct id, array_to_string(w[i : i + 4], ' ') as t from (select id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from w where len(w) >= 1)),
 n as (select id, count(*) as n from sh group by id),
 keyed as (select id, n, list_sort(list(t)) as ts from sh join n using (id) group by id, n),
 first_of as (select ts, min(id) as id from keyed group by ts),

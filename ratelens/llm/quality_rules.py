@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratelens.llm.common import BROADCAST_ROWS, append, cut, fields, slices
+from ratelens.llm.common import append, cut, fields, slices, small
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: Shrunk failure rate above which a whole host is rejected.
@@ -97,10 +97,7 @@ def apply_rules(docs: DataFrame, text: str = "text", host: str = "source", keep:
     their number is small, else by a shuffle join whose hot partitions Spark splits."""
     ruled = cut(with_counts(docs, text, list(dict.fromkeys([*keep, host]))))
     rates = host_rates(ruled.select(host, "base_failed"), host)
-    bad = rates.select(F.col("host").alias("__host"), F.col("rate").alias("host_rate"))
-    n = bad.count()
-    if n <= BROADCAST_ROWS:
-        bad = F.broadcast(bad)
-    out = ruled.join(bad, F.col(host).eqNullSafe(F.col("__host")), "left")
+    bad = cut(rates.select(F.col("host").alias("__host"), F.col("rate").alias("host_rate")))
+    out = ruled.join(small(bad), F.col(host).eqNullSafe(F.col("__host")), "left")
     kept = ~F.col("base_failed") & (F.coalesce("host_rate", F.lit(0.0)) <= max_rate)
     return out.select(*[c for c in keep if c not in (*COUNTS, "base_failed", "host_rate", "kept")], *COUNTS, "base_failed", "host_rate", kept.alias("kept"))

@@ -117,15 +117,11 @@ def _dedup(rows):
         for line in text.split("\n"):
             w = line.replace("\t", " ").replace("\r", " ").split(" ")
             w = [x for x in w if x]
-            s = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
-            if s and any(5 * len(s & t) >= 4 * len(s | t) for t in seen):
-                continue_ = True
-            else:
-                continue_ = False
+            s = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+            if not s or not any(5 * len(s & t) >= 4 * len(s | t) for t in seen):
+                kept.append(line)
             if s:
                 seen.append(s)
-            if not continue_:
-                kept.append(line)
         n = len(text.split("\n"))
         out[d] = ("\n".join(kept), n, n - len(kept))
     return out
@@ -145,6 +141,9 @@ def test_lines_equal_brute_force(spark, seed):
                 w[rng.randrange(len(w))] = rng.choice(words)
             lines.append(rng.choice([" ", " ", "  ", "\t"]).join(w))
         rows.append((d, "\n".join(lines)))
+    # Repeated shingles, other orders of equal sets, and lines that hold another of four fifths of their length.
+    loop = " ".join(words[:6] * 4)
+    rows += [(70, loop), (71, " ".join(words[1:6] + words[:6] * 3)), (72, " ".join(words[:24])), (73, " ".join(words[:20])), (74, " ".join(words[2:22]) + "\f" + words[30])]
     rows += [(60, None), (61, ""), (62, "\n\n"), (63, " " + " ".join(words[:6]) + " ")]
     df = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, n_removed long").repartition(5)
     got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(df).collect()}
@@ -164,6 +163,9 @@ def test_lines_edges(spark):
     df = spark.createDataFrame([(None, line), (1, line), (1, line), (2, line + "\n" + line), (2, "short\n" + line)], "doc_id long, text string")
     rows = sorted(((r.doc_id or 0, r.text) for r in line_dedup.dedup_lines(df).collect()))
     assert rows == [(0, line), (1, ""), (1, ""), (2, ""), (2, "short")]
+    df = spark.createDataFrame([(7, "read more here now\nread  more here now\n\n"), (8, "\tread more here now\nread more"), (9, line), (9, line)], "doc_id long, text string")
+    rows = sorted(((r.doc_id, r.text, r.n_removed) for r in line_dedup.dedup_lines(df).collect()))
+    assert rows == [(7, "read more here now\n\n", 1), (8, "read more", 1), (9, "", 1), (9, line, 0)]
     long = " ".join(f"t{i}" for i in range(30000))
     df = spark.createDataFrame([(1, long), (2, long + " end")], "doc_id long, text string")
     assert {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(df).collect()} == {1: 0, 2: 1}
