@@ -10,8 +10,7 @@ from ratelens.llm.common import new_path, table
 from ratelens.llm.decontaminate import drop_contaminated
 from ratelens.llm.line_dedup import dedup_lines
 from ratelens.llm.packing import pack
-from ratelens.llm.similar import similar_documents
-from ratelens.llm.simhash import keep_one
+from ratelens.llm.simhash import LOOSE, keep_one
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +26,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word shingles, Jaccard 0.8 or more, the one of the least id."""
-    return keep_one(docs, find=similar_documents)
+    """One document of each group: five-word shingles, fingerprints of 128 bits at 22 or fewer
+    differing bits (11 of the first 64), the distance that similarities of 0.8 or more have."""
+    return keep_one(docs, setting=LOOSE)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

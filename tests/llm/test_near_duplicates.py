@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from ratelens.llm import line_dedup, simhash
 from ratelens.llm.components import connected_components
 
@@ -34,23 +35,36 @@ def test_fingerprint(text):
     assert simhash.fingerprint(text) == _fingerprint(text)
 
 
-def test_anchors_cover():
+@pytest.mark.parametrize("setting", [simhash.CLOSE, simhash.LOOSE])
+def test_anchors_cover(setting):
     rng = np.random.default_rng(0)
-    x = rng.integers(-(2**63), 2**63 - 1, 500)
-    home = simhash.home_anchors(x)
-    low = x.view(np.uint64) & np.uint64(2**31 - 1)
-    assert (np.bitwise_count((home[0] & (2**31 - 1)).view(np.uint64) ^ low) <= 1).all()
-    for flips in (1, 2, 3):
+    x = rng.integers(-(2**63), 2**63 - 1, 300)
+    code, within = setting.code, setting.within
+
+    def anchors(v):
+        a, i = simhash.near_anchors(v, code, within)
+        near = [set() for _ in v]
+        for p, q in zip(a.tolist(), i.tolist()):
+            near[q].add(p)
+        return simhash.home_anchors(v, code), near
+
+    home, near = anchors(x)
+    low = x.view(np.uint64) & np.uint64(2**code - 1)
+    assert (np.bitwise_count((home[0] & (2**code - 1)).view(np.uint64) ^ low) <= 1).all()
+    for flips in range(1, setting.first + 1):
         y = x.copy()
         for r in range(len(y)):
             for b in rng.choice(64, flips, replace=False):
                 y[r] ^= np.int64(np.uint64(1 << int(b)).view(np.int64))
-        a, i = simhash.near_anchors(y)
-        near = [set() for _ in y]
-        for p, q in zip(a.tolist(), i.tolist()):
-            near[q].add(p)
-        assert max(map(len, near)) <= 32
-        assert all({int(home[0][r]), int(home[1][r])} & near[r] for r in range(len(y)))
+        home2, near2 = anchors(y)
+        assert max(map(len, near2)) <= {15: 4 * 36, 31: 2 * 16}[code]
+        assert all(set(home[:, r].tolist()) & near2[r] or set(home2[:, r].tolist()) & near[r] for r in range(len(y)))
+
+
+def test_settings_that_are_not_covered():
+    for bad in ((3, 1, 31, 1, 4, 4), (5, 2, 15, 2, 12, 22), (5, 2, 7, 1, 3, 3)):
+        with pytest.raises(ValueError):
+            simhash.Setting(*bad)
 
 
 def _components(fps, threshold=3):
@@ -80,6 +94,98 @@ def test_links_join_what_all_pairs_join(spark, chunk):
     assert edges.count() < 34 * len(fps)
 
 
+def _joined(rows, setting):
+    """Brute force over rows of words: the least row that links reach from each."""
+    n = len(rows)
+    x = np.array(rows, np.uint64).reshape(n, -1)
+    d = np.bitwise_count(x[:, None, :] ^ x[None, :, :]).astype(int)
+    near = (d[:, :, 0] <= setting.first) & (d.sum(axis=2) <= setting.total)
+    label = np.arange(n)
+    while True:
+        new = np.where(near, label[None, :], n).min(axis=1)
+        if (new == label).all():
+            return label.tolist()
+        label = new
+
+
+@pytest.mark.parametrize("chunk", [2, 4096])
+def test_links_of_two_words(spark, chunk):
+    rng = random.Random(chunk)
+    rows = {(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(120)}
+    for a, b in list(rows)[:8]:
+        for _ in range(25):
+            for _ in range(rng.randrange(1, 16)):
+                a ^= 1 << rng.randrange(64)
+            for _ in range(rng.randrange(1, 16)):
+                b ^= 1 << rng.randrange(64)
+            rows.add((a, b))
+    rows = sorted(rows)
+    signed = [tuple(f - (1 << 64) if f >> 63 else f for f in r) for r in rows]
+    edges = simhash.links(spark.createDataFrame(signed, "fp long, fp2 long"), simhash.LOOSE, chunk)
+    root = {r.node: r.root for r in connected_components(edges).collect()}
+    own = [f"{a:016X}{b:016X}" for a, b in rows]
+    want, got = _joined(rows, simhash.LOOSE), [root.get(f, f) for f in own]
+    assert 1 < len(set(want)) < len(rows)
+    assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
+
+
+def _near_texts(rng):
+    """Texts, and copies with some words changed, left out or put in."""
+    texts = [None, "", " \n", "One two", "one  TWO", "one two three", "a b c d e f", "g h i j k l"]
+    for _ in range(10):
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([6, 20, 60, 150, 400]))]
+        for _ in range(rng.randrange(1, 7)):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3, len(w) // 25])):
+                at = rng.randrange(len(w))
+                w[at : at + 1] = rng.choice([[], ["new"], [w[at], "more"]])
+            texts.append(rng.choice([" ", "\n"]).join(w))
+    return texts
+
+
+def test_stage_keeps_one_of_each_group(spark):
+    rng = random.Random(5)
+    texts = _near_texts(rng)
+    ids = rng.sample(range(1000), len(texts))
+    df = docs_of(spark, texts, ids).repartition(3)
+    kept = corpus_pipeline.near_duplicates(spark, df, "")
+    label = _joined([simhash.fingerprints(t, simhash.LOOSE) for t in texts], simhash.LOOSE)
+    least = {}
+    for c, i in zip(label, ids):
+        least[c] = min(least.get(c, i), i)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(least.values())
+
+
+def test_similar_texts_are_linked_and_others_are_not():
+    """Recall over pairs of five-word Jaccard 0.85 to 1, and none of unrelated or half-shared texts."""
+    rng = random.Random(9)
+    caught = pairs = 0
+
+    def far(s, t):
+        d = [int(a ^ b).bit_count() for a, b in zip(simhash.fingerprints(s, simhash.LOOSE), simhash.fingerprints(t, simhash.LOOSE))]
+        return d[0] > simhash.LOOSE.first or sum(d) > simhash.LOOSE.total
+
+    for _ in range(300):
+        w = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([80, 200, 500]))]
+        v = list(w)
+        for _ in range(max(1, len(v) // 70)):
+            v[rng.randrange(len(v))] = "changed"
+        pairs += 1
+        caught += not far(" ".join(w), " ".join(v))
+        other = [f"w{rng.randrange(5000)}" for _ in range(len(w))]
+        assert far(" ".join(w), " ".join(other))
+        assert far(" ".join(w), " ".join(w[: len(w) // 2] + other[len(w) // 2 :]))
+    assert caught >= 0.85 * pairs
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    """Neither a repeated nor a missing id takes a row with it that isn't a copy."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    df = docs_of(spark, [a, b, b, c, None, c, a], [7, 7, 9, None, None, None, 3])
+    kept = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in simhash.keep_one(df).collect())
+    assert kept == [(False, 3, a), (False, 7, b), (True, 0, ""), (True, 0, c)]
+
+
 def test_near_duplicates(spark):
     rng = random.Random(1)
     base = [" ".join(f"w{rng.randrange(5000)}" for _ in range(120)) for _ in range(12)]
@@ -92,7 +198,7 @@ def test_near_duplicates(spark):
     for c, i in zip(label, ids):
         least[c] = min(least.get(c, i), i)
     assert {(r.doc_id, r.component_id, r.fp % 2**64) for r in rows} == {(i, least[c], f) for i, c, f in zip(ids, label, fps)}
-    kept = simhash.keep_one(docs_of(spark, texts, ids))
+    kept = simhash.keep_one(docs_of(spark, texts, ids), setting=simhash.CLOSE)
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))
 
@@ -102,7 +208,8 @@ def test_near_duplicates_edges(spark):
     rows = simhash.near_duplicates(docs_of(spark, ["a b c d", "a b c d", "p q r s t"], [None, None, None])).collect()
     assert len(rows) == 3 and all(r.component_id is None for r in rows)
     assert simhash.keep_one(docs_of(spark, ["a b c d", "a b c d", "x y z", None], [4, 4, 9, None])).count() == 3
-    clash = docs_of(spark, ["a b c", "a b c"]).selectExpr("*", "1 as fp", "2 as component_id", "3 as node", "4 as root")
+    assert simhash.keep_one(docs_of(spark, [])).count() == 0
+    clash = docs_of(spark, ["a b c", "a b c"]).selectExpr("*", "1 as fp", "2 as component_id", "3 as node", "4 as root", "5 as fp2", "6 as own")
     assert simhash.keep_one(clash).count() == 1
 
 
@@ -115,7 +222,7 @@ def _dedup(rows):
             continue
         kept = []
         for line in text.split("\n"):
-            w = line.replace("\t", " ").replace("\r", " ").split(" ")
+            w = line.replace("\t", " ").replace("\r", " ").replace("\f", " ").split(" ")
             w = [x for x in w if x]
             s = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
             if not s or not any(5 * len(s & t) >= 4 * len(s | t) for t in seen):
