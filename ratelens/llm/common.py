@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,10 +34,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+@contextmanager
+def tidy(spark: SparkSession):
+    """Executions inside drop their shuffle files at their end: what follows reads their result from
+    the shared folder. (Spark does so itself only when the driver collects garbage.)"""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if was is None else spark.conf.set(name, was)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: computed once, lineage cut, survives lost executors."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with tidy(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -47,7 +62,8 @@ def stash(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df written as a compressed table in the shared folder and read again, and its path, for
     unstash() once what follows is cut too."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with tidy(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

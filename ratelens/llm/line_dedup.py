@@ -11,13 +11,15 @@ Tokens are ordered by rarity. A word's rarity is read from a table of fixed size
 all documents, the pieces between spaces in each hash bucket; a shingle is as rare as its first
 word, which bounds how often it occurs. Lines that match share one of their n - ceil(0.8 n) + 1
 rarest tokens (prefix filter), are of similar length, have enough tokens left after each shared one
-(position filter), and share enough of their prefixes (count filter). Each line sends its prefix;
-most tokens meet no second line and go at once.
+(position filter), and differ by few enough bits of a parity sketch of their sets.
 
-A line is first verified against the one earliest line that it meets most often; only lines still
-without a match are held against all others that the filters leave, among them a bitmap of the
-prefix tokens that bounds how many are shared. So groups of near copies cost about a comparison a
-line. Verification fetches both lines and compares the words of their shingles.
+Few lines share anything. So a screen comes first: each line sends the shingles of its rarest
+words, enough of them to hold its prefix, as bare hashes, and only lines that meet another under
+one of them go on to the join, which takes exact sets, prefixes and sketches. A line is verified
+against the earliest lines that it meets, and only lines still without a match against all others
+that the filters leave, so groups of near copies cost about a comparison a line. Verification
+compares the lines' whole sets, as hashes of 53 bits and the rarity of the first word (odds under
+10^-11 for a pair that one hash misleads).
 
 Tokens that may be frequent are dealt by a salt as well, in tasks of bounded size.
 """
@@ -33,51 +35,87 @@ from pyspark.sql import functions as F
 from ratelens.llm.common import cut, small, stash, unstash
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5
-#: Size of the rarity table, steps for each doubling of a count, occurrences from which a token is salted, salts.
-BUCKETS, STEPS, HOT, SALTS = 16_384, 16, 200_000, 64
-_LOW = (1 << 48) - 1
+#: Size of the rarity table, steps for each doubling of a count, salts; a token is salted if its first
+#: word's bucket has more than HOT pieces and more than one in HOT_SHARE of all.
+BUCKETS, STEPS, SALTS, HOT, HOT_SHARE = 16_384, 16, 64, 200_000, 1024
+#: 64-bit words of a set's parity sketch, bits of a hash below the rarity in a token.
+SKETCH, BITS = 2, 53
+_LOW = (1 << BITS) - 1
 
 
 def _level(count: int) -> int:
     return min(1023, int(STEPS * math.log2(count + 1)))
 
 
-def word_rarity(docs: DataFrame, text: str = "text") -> list[int]:
+def word_rarity(docs: DataFrame, text: str = "text") -> tuple[list[int], int]:
     """BUCKETS levels: how many pieces between spaces of all documents fall in each hash bucket, on
-    a log scale. A word at a line's end counts with its neighbour: only the order depends on it."""
+    a log scale; and the level from which tokens are salted. A word at a line's end counts with its
+    neighbour: only the order depends on it."""
     words = docs.select(F.explode(F.split(text, " ")).alias("w"))
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count().collect()
     levels = [0] * BUCKETS
     for r in counts:
         levels[r.b] = _level(r["count"])
-    return levels
+    return levels, _level(max(HOT, sum(r["count"] for r in counts) // HOT_SHARE))
 
 
-def _lines(docs: DataFrame, keys: list[str], only: str) -> DataFrame:
-    """keys, ln and line, other white space as spaces, of the line numbers that the SQL `only` gives
-    for the array ls. One array of structs is exploded, so that no row holds the whole text."""
-    spaced = r"if(text rlike '[\\t\\x0B\\f\\r]', translate(text, '\t\u000B\u000C\r', '    '), text)"
-    each = f"transform({only}, i -> named_struct('ln', i, 'line', get(ls, i)))"
-    return docs.select(*keys, F.expr(f"inline(transform(array(split({spaced}, '\\n')), ls -> {each})[0])")).where("trim(line) <> ''")
+def _lines(docs: DataFrame, keys: list[str], only: str | None = None) -> DataFrame:
+    """keys, ln and line, other white space as spaces: all that aren't blank, or those of the line
+    numbers that the SQL `only` gives for the array ls. One array of structs is exploded then, so
+    that no row holds the whole text."""
+    odd = " or ".join(f"contains(text, '{c}')" for c in (r"\t", r"\u000B", r"\u000C", r"\r"))
+    ls = rf"split(if({odd}, translate(text, '\t\u000B\u000C\r', '    '), text), '\n')"
+    if only is None:
+        found = docs.select(*keys, F.expr(f"posexplode({ls}) as (ln, line)"))
+    else:
+        found = docs.select(*keys, F.expr(f"inline(transform(array({ls}), ls -> transform({only}, i -> named_struct('ln', i, 'line', get(ls, i))))[0])"))
+    return found.where("trim(line) <> ''")
 
 
 def _words(line: str) -> str:
-    return f"array_remove(split({line}, ' '), '')"
+    return f"if(contains({line}, '  ') or startswith({line}, ' ') or endswith({line}, ' '), array_remove(split({line}, ' '), ''), split({line}, ' '))"
 
 
-def _prefixes(lines: DataFrame, keys: list[str], rarity: list[int]) -> DataFrame:
-    """keys, ln, n, pos (from 1) and token of each line's prefix. A token is 16 bits of rarity above
-    48 bits of hash. Arrays are bound by nested lambdas: Spark would paste them into each use."""
+def _ranked(words: str, rarity: list[int]) -> str:
+    """Of each word its rarity above the low bits of its hash."""
     table = f"from_json('{json.dumps(rarity)}', 'array<int>')"
-    ranked = f"transform(transform({_words('line')}, w -> xxhash64(w)), h -> shiftleft(cast(get({table}, cast(h & {BUCKETS - 1} as int)) as bigint), 48) | (h & {_LOW}L))"
-    rest = ", ".join(f"get(ws, i + {j})" for j in range(1, WORDS))
-    shingles = f"transform(slice(ws, 1, greatest(size(ws) - {WORDS - 1}, 1)), (h, i) -> (h & {~_LOW}L) | (xxhash64(h, {rest}) & {_LOW}L))"
-    n = "size(ts)"
-    prefix = f"{n} - ({NUMERATOR} * {n} + {DENOMINATOR - 1}) div {DENOMINATOR} + 1"
-    made = f"transform({{}}, ts -> named_struct('n', {n}, 'prefix', slice(ts, 1, cast({prefix} as int))))"
-    sets = f"transform(array({ranked}), ws -> sort_array(array_distinct({shingles})))"
-    found = lines.select(*keys, "ln", F.expr(f"inline({made.format(sets)})"))
-    return found.select(*keys, "ln", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos") + 1)
+    return f"transform(transform({words}, w -> xxhash64(w)), h -> shiftleft(cast(get({table}, cast(h & {BUCKETS - 1} as int)) as bigint), {BITS}) | (h & {_LOW}L))"
+
+
+def _prefix(n: str) -> str:
+    return f"cast({n} - ({NUMERATOR} * {n} + {DENOMINATOR - 1}) div {DENOMINATOR} + 1 as int)"
+
+
+def _screened(lines: DataFrame, keys: list[str], rarity: list[int], hot: int) -> DataFrame:
+    """keys and ln of the lines that may share a token of their prefixes with another. A line of n
+    places, so of at most n tokens, sends every shingle whose first word is among the rarest that
+    a prefix of n has: it holds at least as many tokens. Arrays are bound by nested lambdas, as
+    Spark would paste them into each use."""
+    me = [*keys, "ln"]
+    n = f"greatest(size(ws) - {WORDS - 1}, 1)"
+    last = f"transform(array(sort_array(array_distinct(slice(xs, 1, {n})))), d -> element_at(d, least({_prefix(n)}, size(d))))[0]"
+    token = f"xxhash64({', '.join(f'get(ws, i + {j})' for j in range(WORDS))})"
+    # Bit 0 marks a frequent first word; the salt then takes the next bits, so that a row is a hash and a line.
+    salt = f"(pmod(xxhash64({', '.join(me)}), {SALTS}L) * 2 + 1)"
+    marked = f"if(shiftright(get(xs, i), {BITS}) >= {hot}, ({token} & {~(2 * SALTS - 1)}L) | {salt}, {token} & -2L)"
+    sent = f"transform(array({last}), last -> array_distinct(transform(filter(sequence(0, {n} - 1), i -> get(xs, i) <= last), i -> {marked})))[0]"
+    tokens = f"transform(array({_words('line')}), ws -> transform(array({_ranked('ws', rarity)}), xs -> {sent})[0])[0]"
+    rows = lines.select(*me, F.explode(F.expr(tokens)).alias("token"))
+    w = Window.partitionBy("token").orderBy(*me)
+    met = rows.withColumns({"rank": F.row_number().over(w), "next": F.lead("ln").over(w)}).where("rank > 1 or next is not null or token & 1 = 1")
+    return met.select(*me).distinct()
+
+
+def _sets(docs: DataFrame, asked: DataFrame, keys: list[str], rarity: list[int]) -> DataFrame:
+    """For the lines asked for: n, the sorted set of tokens ts, and a sketch of it: the parity of how
+    many fall in each of SKETCH * 64 bins. Sets differ by no fewer elements than their sketches by
+    bits. A token is 10 bits of rarity above a hash."""
+    rest = ", ".join(f"get(xs, i + {j})" for j in range(1, WORDS))
+    shingles = f"transform(slice(xs, 1, greatest(size(xs) - {WORDS - 1}, 1)), (x, i) -> (x & {~_LOW}L) | (xxhash64(x, {rest}) & {_LOW}L))"
+    ts = f"transform(array({_ranked(_words('line'), rarity)}), xs -> sort_array(array_distinct({shingles})))"
+    bits = ", ".join(f"'b{j}', aggregate(ts, 0L, (a, x) -> if((shiftright(x, 6) & {SKETCH - 1}) = {j}, a ^ shiftleft(1L, cast(x & 63 as int)), a))" for j in range(SKETCH))
+    lines = _lines(docs.join(small(asked), keys), keys, "__asked")
+    return lines.select(*keys, "ln", F.expr(f"inline(transform({ts}, ts -> named_struct('n', size(ts), {bits}, 'ts', ts)))"))
 
 
 def _copies(docs: DataFrame, keys: list[str]) -> DataFrame:
@@ -86,10 +124,12 @@ def _copies(docs: DataFrame, keys: list[str]) -> DataFrame:
     plain = F.when(
         F.startswith("line", F.lit(" ")) | F.endswith("line", F.lit(" ")) | F.contains("line", F.lit("  ")), F.trim(F.regexp_replace("line", " +", " "))
     ).otherwise(F.col("line"))
-    lines = _lines(docs, keys, "sequence(0, size(ls) - 1)").select(*me, plain.alias("line"))
+    lines = _lines(docs, keys).select(*me, plain.alias("line"))
     hashed, path = stash(lines.select(*me, F.xxhash64("line").alias("a"), F.xxhash64(F.lit("second"), "line").alias("b")), "line-hashes")
-    first = cut(hashed.groupBy("a", "b").agg(F.min(F.struct(*me)).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"))
-    found = cut(hashed.join(small(first), ["a", "b"]).where(F.struct(*me) > F.col("first")).select(*me))
+    many = cut(hashed.groupBy("a", "b").agg(F.count("*").alias("c")).where("c > 1").select("a", "b"))
+    again = cut(hashed.join(small(many), ["a", "b"]))
+    first = cut(again.groupBy("a", "b").agg(F.min(F.struct(*me)).alias("first")))
+    found = cut(again.join(small(first), ["a", "b"]).where(F.struct(*me) > F.col("first")).select(*me))
     unstash(docs.sparkSession, path)
     return found
 
@@ -103,64 +143,61 @@ def _without(gone: str) -> str:
     return f"if({gone} is null, sequence(0, size(ls) - 1), array_except(sequence(0, size(ls) - 1), {gone}))"
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, keys: list[str]) -> DataFrame:
-    """Of pairs (line, partner) the lines whose shingles are similar to their partner's, by words."""
-    me = [*keys, "ln"]
+def _verified(pairs: DataFrame, sets: DataFrame, me: list[str]) -> DataFrame:
+    """Of pairs (line, partner) the lines whose sets are similar to their partner's."""
     it = [f"p_{c}" for c in me]
-    pairs = cut(pairs.select(*me, *it))
-    need = _by_document(pairs.select(*me).union(pairs.select(*it)).distinct(), keys, "__asked")
-    lines = _lines(docs.join(small(need), keys), keys, "__asked").select(*me, F.expr(_words("line")).alias("w"))
-    lines, path = stash(lines, "line-words")
-    theirs = lines.select(*[F.col(c).alias(f"p_{c}") for c in me], F.col("w").alias("v"))
-    own = lambda w: f"array_distinct(if(size({w}) < {WORDS}, array(array_join({w}, ' ')), transform(sequence(1, size({w}) - {WORDS - 1}), i -> array_join(slice({w}, i, {WORDS}), ' '))))"
-    same = f"(size(s.a) + size(s.b) - c) * {NUMERATOR} <= c * {DENOMINATOR}"
-    match = f"transform(array(named_struct('a', {own('w')}, 'b', {own('v')})), s -> transform(array(size(array_intersect(s.a, s.b))), c -> {same})[0])[0]"
-    found = cut(pairs.join(lines, me).join(theirs, it).where(F.expr(match)).select(*me).distinct())
-    unstash(docs.sparkSession, path)
+    pairs = cut(pairs.select(*me, *it).distinct())
+    need = cut(pairs.select(*me).union(pairs.select(*it)).distinct())
+    sets, path = stash(sets.select(*me, "ts").join(small(need), me, "left_semi"), "line-pairs")
+    theirs = sets.select(*[F.col(c).alias(f"p_{c}") for c in me], F.col("ts").alias("us"))
+    same = f"transform(array(size(array_intersect(ts, us))), c -> (size(ts) + size(us) - c) * {NUMERATOR} <= c * {DENOMINATOR})[0]"
+    found = cut(pairs.join(sets, me).join(theirs, it).where(F.expr(same)).select(*me).distinct())
+    unstash(pairs.sparkSession, path)
     return found
 
 
-# SQL of what two lines of n and m tokens need: the overlap of similar sets, what lies behind a prefix.
-_NEED = f"(({NUMERATOR} * (n + m) + {NUMERATOR + DENOMINATOR - 1}) div {NUMERATOR + DENOMINATOR})"
-_BEHIND = f"(({NUMERATOR} * greatest(n, m) + {DENOMINATOR - 1}) div {DENOMINATOR} - 1)"
-_LENGTH = f"n * {DENOMINATOR} >= m * {NUMERATOR} and m * {DENOMINATOR} >= n * {NUMERATOR}"
-_POSITION = f"1 + least(n - pos, m - at) + least(pos - 1, at - 1) >= {_NEED}"
+def _near(n: str, pos: str, own: list[str], m: str, at: str, theirs: list[str]) -> str:
+    """Length, position and sketch filters; positions count from 1 in each sorted set."""
+    most = NUMERATOR + DENOMINATOR
+    bits = " + ".join(f"bit_count({a} ^ {b})" for a, b in zip(own, theirs))
+    return (
+        f"{n} * {DENOMINATOR} >= {m} * {NUMERATOR} and {m} * {DENOMINATOR} >= {n} * {NUMERATOR}"
+        f" and (1 + least({n} - {pos}, {m} - {at}) + least({pos} - 1, {at} - 1)) * {most} >= {NUMERATOR} * ({n} + {m})"
+        f" and ({bits}) * {most} <= {DENOMINATOR - NUMERATOR} * ({n} + {m})"
+    )
 
 
 def matched_lines(docs: DataFrame, keys: list[str], copies: DataFrame) -> DataFrame:
     """docs (keys, text) -> keys and ln of every line that matches an earlier one, copies aside."""
-    me = [*keys, "ln"]
-    it = [f"p_{c}" for c in me]
+    spark, me = docs.sparkSession, [*keys, "ln"]
+    rarity, hot = word_rarity(docs)
     lines = _lines(docs.join(small(_by_document(copies, keys, "__gone")), keys, "left"), keys, _without("__gone"))
-    sent = _prefixes(lines, keys, word_rarity(docs))
-    hot = F.shiftright("token", 48) >= _level(HOT)
-    sent = sent.withColumn("salt", F.when(hot, F.pmod(F.xxhash64(*me), F.lit(SALTS)).cast("int")).otherwise(F.lit(-1)))
+    asked = _by_document(_screened(lines, keys, rarity, hot), keys, "__asked")
+    sets, path = stash(_sets(docs, asked, keys, rarity), "line-sets")
+
+    sketch = [f"b{j}" for j in range(SKETCH)]
+    sent = sets.select(*me, "n", *sketch, F.posexplode(F.slice("ts", F.lit(1), F.expr(_prefix("n")))).alias("pos", "token")).withColumn("pos", F.col("pos") + 1)
+    sent = sent.withColumn("salt", F.when(F.shiftright("token", BITS) >= hot, F.pmod(F.xxhash64(*me), F.lit(SALTS)).cast("int")).otherwise(F.lit(-1)))
     w = Window.partitionBy("token", "salt").orderBy(*me)
-    lead = F.first(F.struct(*me, "n")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    lead = F.first(F.struct(*me, "n", "pos", *sketch)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     met = sent.withColumns({"lead": lead, "rank": F.row_number().over(w), "next": F.lead("n").over(w)})
-    met, path = stash(met.where("rank > 1 or next is not null or salt >= 0").drop("rank", "next"), "line-tokens")
-
-    # Salted tokens: leads of all salts, singles go.
-    whole = met.where("salt >= 0").groupBy("token").agg(F.min("lead").alias("least"), F.count("*").alias("c"))
-    whole = cut(whole)
-    rest = met.join(small(whole), "token", "left").where("c is null or c > 1").withColumn("lead", F.coalesce("least", "lead")).select("token", *me, "n", "pos", "lead")
-    marks = rest.groupBy(*me).agg(F.bit_or(F.expr("shiftleft(1L, cast(token & 63 as int))")).alias("bits"), F.count("*").alias("k"))
-
-    # Each line against the lead that it meets most often.
-    led = rest.where(F.struct(*me) > F.col("lead").dropFields("n")).groupBy(*me, "n", "lead").agg(F.count("*").alias("c"))
-    best = led.groupBy(*me, "n").agg(F.max(F.struct("c", "lead")).alias("x")).select(*me, "n", F.col("x.lead.n").alias("m"), "x.c", *[F.col(f"x.lead.{c}").alias(f"p_{c}") for c in me])
-    matched = _verified(best.where(f"{_LENGTH} and c + {_BEHIND} >= {_NEED}").select(*me, *it), docs, keys)
-
-    # What is still open against all earlier lines.
-    rest, path2 = stash(rest.drop("lead").join(marks, me), "line-rest")
-    theirs = rest.select("token", *[F.col(c).alias(f"p_{c}") for c in me], F.col("n").alias("m"), F.col("pos").alias("at"), F.col("bits").alias("p_bits"), F.col("k").alias("p_k"))
+    met, path2 = stash(met.where("rank > 1 or next is not null or salt >= 0").drop("rank", "next"), "line-met")
+    # Salted tokens: the first of all salts leads, singles go.
+    whole = cut(met.where("salt >= 0").groupBy("token").agg(F.min("lead").alias("least"), F.count("*").alias("c")))
+    met = met.join(small(whole), "token", "left").where("c is null or c > 1").withColumn("lead", F.coalesce("least", "lead")).drop("least", "c", "salt")
+
+    led = met.where(F.struct(*me) > F.struct(*[F.col(f"lead.{c}") for c in me])).where(_near("n", "pos", sketch, "lead.n", "lead.pos", [f"lead.{b}" for b in sketch]))
+    matched = _verified(led.select(*me, *[F.col(f"lead.{c}").alias(f"p_{c}") for c in me]), sets, me)
+
+    # What is still open against all earlier lines under each token.
     earlier = " or ".join("(" + " and ".join([f"p_{c} = {c}" for c in me[:i]] + [f"p_{me[i]} < {me[i]}"]) + ")" for i in range(len(me)))
-    shared = "least(k - bit_count(bits & ~p_bits), p_k - bit_count(p_bits & ~bits))"
-    pairs = rest.join(small(matched), me, "left_anti").join(theirs, "token").where(f"({earlier}) and {_LENGTH} and {_POSITION} and {shared} + {_BEHIND} >= {_NEED}")
-    pairs = pairs.groupBy(*me, *it, "n", "m").agg(F.count("*").alias("c")).where(f"c + {_BEHIND} >= {_NEED}")
-    found = cut(matched.union(_verified(pairs, docs, keys)).distinct())
+    theirs = met.select("token", *[F.col(c).alias(f"p_{c}") for c in (*me, "n", "pos", *sketch)])
+    open_ = met.drop("lead").join(small(matched), me, "left_anti")
+    near = _near("n", "pos", sketch, "p_n", "p_pos", [f"p_{b}" for b in sketch])
+    pairs = open_.join(theirs.withColumnRenamed("token", "p_token"), (F.col("token") == F.col("p_token")) & F.expr(f"({earlier}) and {near}"))
+    found = cut(matched.union(_verified(pairs, sets, me)).distinct())
     for p in (path, path2):
-        unstash(docs.sparkSession, p)
+        unstash(spark, p)
     return found
 
 
