@@ -9,26 +9,32 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ratelens.llm.common import small
+from ratelens.llm.common import cut, small
 from ratelens.llm.tokens import with_ids
 
-STRIPE_BYTES, ROW_INDEX_ROWS, BLOOM_FPP = 64 << 20, 10_000, 0.01
+STRIPE_BYTES, ROW_INDEX_ROWS, BLOOM_FPP, PART_BYTES = 64 << 20, 10_000, 0.01, 128 << 20
 
 
 def write_ids(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = 2, partitions: int | None = None) -> None:
-    """Writes doc_id, n_tokens, ids and part (the file's place in ascending doc_id order) to ORC
-    files at `path`. Null and empty texts have the end id alone. Null ids come first; rows that
-    repeat an id are all written."""
+    """Writes doc_id (as a long), n_tokens, ids, part (the file's place in ascending doc_id order) and
+    row (the place in the file) to ORC files at `path`. Null and empty texts have the end id alone.
+    Null ids come first; rows that repeat an id are all written, in the order of a hash of their
+    texts, by which they are dealt as well. Unless told, a range is made for each PART_BYTES of what
+    Spark takes the input's size for, or for each shuffle partition if those are more."""
     spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 20, -(-size // PART_BYTES)))
+    order = ("doc_id", F.xxhash64("text"))
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
     (
         with_ids(dealt, keep=["doc_id"], path=tokenizer, end_id=end_id)
-        .select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.spark_partition_id().alias("part"))
+        .select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("row"))
         .write.mode("errorifexists")
         .options(**{
             "compression": "zstd", "orc.stripe.size": STRIPE_BYTES, "orc.create.index": "true", "orc.row.index.stride": ROW_INDEX_ROWS,
@@ -39,8 +45,8 @@ def write_ids(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "t
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids, part as written; filters on doc_id are pushed to the ORC reader."""
-    return spark.read.schema("doc_id long, n_tokens long, ids array<int>, part int").orc(path)
+    """doc_id, n_tokens, ids, part and row as written; filters on doc_id are pushed to the ORC reader."""
+    return spark.read.schema("doc_id long, n_tokens long, ids array<int>, part int, row long").orc(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -50,16 +56,18 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for b in batches:
             ids = b.column(3)
-            values, offsets = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_pylist()
-            crc = [zlib.crc32(values[s:e].tobytes()) for s, e in zip(offsets, offsets[1:])]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array([e - s for s, e in zip(offsets, offsets[1:])], pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "part", "stored", "n_tokens", "ids_crc32"])
+            values, offsets = ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), ids.offsets.to_pylist()
+            raw = memoryview(np.ascontiguousarray(values)).cast("B")
+            crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(offsets, offsets[1:])]
+            n = pa.array(np.diff(ids.offsets.to_numpy()), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), n, pa.array(crc, pa.int64())], names=["doc_id", "part", "row", "n_tokens", "ids_crc32"])
 
-    read = read_ids(spark, path).select("doc_id", "part", F.col("n_tokens").alias("stored"), "ids").mapInArrow(run, "doc_id long, part int, stored long, n_tokens long, ids_crc32 long")
+    read = read_ids(spark, path).select("doc_id", "part", "row", "ids").mapInArrow(run, "doc_id long, part int, row long, n_tokens long, ids_crc32 long")
     totals = read_ids(spark, path).groupBy("part").agg(F.sum("n_tokens").alias("n"))
     # One row for each file.
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    within = Window.partitionBy("part").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        read.join(small(before), "part")
+        read.join(small(cut(before)), "part")
         .select("doc_id", (F.col("before") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).alias("start"), "n_tokens", "ids_crc32")
     )

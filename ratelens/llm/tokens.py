@@ -4,7 +4,9 @@ The byte-level pre-tokenizer never joins text across the place where white space
 piece. So a text is cut there, each different piece is encoded once by the tokenizers library and
 kept, as little-endian bytes, in a table of bounded size. Regular texts (words parted by single
 spaces, lines by single line feeds) are cut by plain splitting, others by a pattern; texts with
-characters on whose being white space Python and the library may disagree go to the library whole.
+characters on whose being white space Python and the library may disagree, or with the string of a
+special token, go to the library whole. A new piece of letters, digits or punctuation alone is one
+word for the library, so its model is asked directly; the others pass its pre-tokenizer first.
 """
 
 from __future__ import annotations
@@ -28,6 +30,9 @@ _UNSURE = "\x1c\x1d\x1e\x1f\x85\u180e\u200b\ufeff"
 _IRREGULAR = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
 #: A word of letters below U+0250 and the punctuation behind it, which the pre-tokenizer parts too.
 _WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\\[-`{-~]+)")
+#: Pieces that the pre-tokenizer leaves whole, and how it shows bytes: those without a sign of their own from U+0100 on.
+_ALONE = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]+|[!-/:-@\\[-`{-~]+")
+_SHOWN = {b: 0x100 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 #: Different pieces remembered by a worker, the longest piece that is, and characters worked on at once.
 PIECES, PIECE_CHARS, CHUNK_CHARS = 500_000, 64, 1 << 20
 
@@ -41,28 +46,42 @@ def default_path() -> str:
 class Encoder:
     """encode(text) -> ids as little-endian unsigned 32-bit bytes, equal to the library's."""
 
-    _made: dict[str, "Encoder"] = {}
+    _made: dict[tuple[str, bool], "Encoder"] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = special_as_text
+        #: Strings that the library takes out of a text before it cuts it.
+        self.special = [] if special_as_text else [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.model = self.library.model
+        probe = ["word", "\u00c9lan", "x", "2024", "!?", "'", "\u0142\u00f3d\u017a"]
+        if self._whole(probe + [" " + x for x in probe]) != self._alone(probe, "") + self._alone(probe, " "):
+            self.model = None  # a tokenizer of another kind
         #: Pieces as they are, and words as they are behind a space.
         self.plain: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
 
     @classmethod
-    def of(cls, path: str) -> "Encoder":
+    def of(cls, path: str, special_as_text: bool = False) -> "Encoder":
         """One for each worker and file."""
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+        if (path, special_as_text) not in cls._made:
+            cls._made[path, special_as_text] = cls(path, special_as_text)
+        return cls._made[path, special_as_text]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _alone(self, pieces: list[str], space: str) -> list[bytes]:
+        """Ids of pieces that are one word each, behind `space`."""
+        if self.model is None:
+            return self._whole([space + x for x in pieces])
+        ask, lead = self.model.tokenize, space.translate(_SHOWN)
+        shown = [lead + (x if x.isascii() else x.encode().decode("latin-1").translate(_SHOWN)) for x in pieces]
+        return [array("I", [t.id for t in ask(x)]).tobytes() for x in shown]
+
     def encode(self, text: str | None) -> bytes:
         return self.encode_many([text])[0]
 
@@ -96,7 +115,7 @@ class Encoder:
                 out.append([])
                 continue
             ascii_ = t.isascii()
-            if any(c in t for c in (_UNSURE[:4] if ascii_ else _UNSURE)):
+            if any(c in t for c in (_UNSURE[:4] if ascii_ else _UNSURE)) or any(x in t for x in self.special):
                 out.append([self._whole([t])[0]])
                 continue
             if ascii_:
@@ -152,9 +171,13 @@ class Encoder:
                     new[behind].add(x)
         for behind, known in ((False, self.plain), (True, self.spaced)):
             todo = [x for x in new[behind] if x not in known]
+            space = " " if behind else ""
+            alone = list(filter(_ALONE.fullmatch, todo))
+            known.update(zip(alone, self._alone(alone, space)))
+            todo = [x for x in todo if x not in known]
             for i in range(0, len(todo), 4096):
                 part = todo[i : i + 4096]
-                known.update(zip(part, self._whole([" " + x for x in part] if behind else part)))
+                known.update(zip(part, self._whole([space + x for x in part])))
         for behind, x, letters, marks in double:
             known = self.spaced if behind else self.plain
             known[x] = known[letters] + self.plain[marks]
@@ -177,15 +200,16 @@ def lists(parts: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), "<i4")))
 
 
-def with_ids(docs: DataFrame, text: str = "text", keep: list[str] | None = None, out: str = "ids", path: str | None = None, end_id: int | None = None) -> DataFrame:
+def with_ids(docs: DataFrame, text: str = "text", keep: list[str] | None = None, out: str = "ids", path: str | None = None, end_id: int | None = None, special_as_text: bool = False) -> DataFrame:
     """docs' columns `keep` (all by default) and the token ids of the whole text (null: none), then
-    end_id if one is given. A column of the output's name is replaced."""
+    end_id if one is given. A column of the output's name is replaced. A special token's string has
+    that token's id, as in a plain call of the library, unless special_as_text."""
     keep = [c for c in (docs.columns if keep is None else keep) if c != out]
     path = path or default_path()
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encoder = Encoder.of(path)
+        encoder = Encoder.of(path, special_as_text)
         for b in slices(batches):
             ids = [x + end for x in encoder.encode_many(b.column(b.schema.get_field_index(text)).to_pylist())]
             yield append(b, keep, {out: lists(ids)})

@@ -21,7 +21,6 @@ def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.default_path())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -31,6 +30,7 @@ def test_ids_equal_the_library(library, monkeypatch):
     texts = TEXTS + ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randrange(40))) for _ in range(400)]
     want = [np.array(library(t), "<u4").tobytes() for t in texts]
     assert tokens.Encoder(tokens.default_path()).encode_many(texts) == want
+    assert 50256 in library("<|endoftext|> x") and np.array([50256], "<u4").tobytes() not in tokens.Encoder(tokens.default_path(), special_as_text=True).encode("<|endoftext|> x")
     monkeypatch.setattr(tokens, "PIECES", 8)
     monkeypatch.setattr(tokens, "PIECE_CHARS", 3)
     monkeypatch.setattr(tokens, "CHUNK_CHARS", 20)
@@ -51,12 +51,38 @@ def test_orc_round_trip(spark, library):
         at += r.n_tokens
     index = {(r.doc_id, r.ids_crc32) for r in orc_ids.read_index(spark, path).collect()}
     assert index == {(r.doc_id, zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in rows}
+    # The index follows the files: start is where a row's ids lie in them, laid end to end.
+    laid = [i for r in sorted(rows, key=lambda r: (r.part, r.row)) for i in r.ids]
+    for r in orc_ids.read_index(spark, path).collect():
+        assert zlib.crc32(np.array(laid[r.start : r.start + r.n_tokens], "<u4").tobytes()) == r.ids_crc32
     starts = [(r.doc_id is not None, r.doc_id or 0) for r in sorted(orc_ids.read_index(spark, path).collect(), key=lambda r: r.start)]
     assert starts == sorted(starts)
     plan = orc_ids.read_ids(spark, path).where("doc_id = 5")._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,5)]" in plan and orc_ids.read_ids(spark, path).where("doc_id = 5").count() == 2
 
 
+def test_orc_files_have_what_is_promised(spark):
+    """Footers: run-length integers, a row index and a Bloom filter on doc_id, stripes that prune."""
+    docs = spark.range(30000).selectExpr("id as doc_id", "concat('word ', id) as text")
+    path = new_path(spark, "ids")
+    orc_ids.write_ids(docs, path, partitions=2)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = [f.getPath() for f in folder.getFileSystem(conf).listStatus(folder) if f.getPath().getName().endswith(".orc")]
+    assert len(files) == 2
+    for f in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(f, jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == orc_ids.ROW_INDEX_ROWS and reader.getCompressionKind().toString() == "ZSTD"
+        stripe = reader.getStripes().get(0)
+        rows = reader.rows()
+        footer = rows.readStripeFooter(stripe)
+        kinds = {(s.getColumn(), s.getKind().toString()) for s in footer.getStreamsList()}
+        encodings = [c.getKind().toString() for c in footer.getColumnsList()]
+        rows.close()
+        assert (1, "BLOOM_FILTER_UTF8") in kinds and (1, "ROW_INDEX") in kinds
+        assert encodings[1] == "DIRECT_V2" and "DIRECT_V2" in encodings[3:]
+
+
 def test_orc_of_nothing(spark):
     path = new_path(spark, "ids")
     orc_ids.write_ids(spark.createDataFrame([], "doc_id long, text string"), path)
