@@ -64,16 +64,19 @@ def dct8(block: str) -> Column:
     """64 samples in row order -> orthonormal DCT-II coefficients in row order."""
     m = [[(math.sqrt(1 / 8) if u == 0 else 0.5) * math.cos((2 * x + 1) * u * math.pi / 16) for x in range(8)] for u in range(8)]
     flat = ", ".join(f"{v!r}D" for row in m for v in row)
-    rows = f"transform(sequence(0, 63), i -> aggregate(sequence(0, 7), 0D, (a, x) -> a + array({flat})[(i % 8) * 8 + x] * {block}[(i div 8) * 8 + x]))"
-    return F.expr(f"transform(array({rows}), t -> transform(sequence(0, 63), i -> aggregate(sequence(0, 7), 0D, (a, y) -> a + array({flat})[(i div 8) * 8 + y] * t[y * 8 + i % 8])))[0]")
+    # The block is bound once: Spark would paste its expression into each of its uses.
+    rows = f"transform(sequence(0, 63), i -> aggregate(sequence(0, 7), 0D, (a, x) -> a + array({flat})[(i % 8) * 8 + x] * s[(i div 8) * 8 + x]))"
+    both = f"transform(array({rows}), t -> transform(sequence(0, 63), i -> aggregate(sequence(0, 7), 0D, (a, y) -> a + array({flat})[(i div 8) * 8 + y] * t[y * 8 + i % 8])))[0]"
+    return F.expr(f"transform(array({block}), s -> {both})[0]")
 
 
 def hadamard(block: str, size: int = 8) -> Column:
     """size * size values in row order -> both-way Walsh-Hadamard transform, in row order."""
-    sign = lambda a, b: f"(1 - 2 * (bit_count({a} & {b}) % 2))"
-    n, s = size * size - 1, size
-    rows = f"transform(sequence(0, {n}), i -> aggregate(sequence(0, {s - 1}), 0L, (a, x) -> a + {sign(f'(i % {s})', 'x')} * {block}[(i div {s}) * {s} + x]))"
-    return F.expr(f"transform(array({rows}), t -> transform(sequence(0, {n}), i -> aggregate(sequence(0, {s - 1}), 0L, (a, y) -> a + {sign(f'(i div {s})', 'y')} * t[y * {s} + i % {s}])))[0]")
+    n = size * size
+    steps = ", ".join(str(1 << i) for i in range(n.bit_length() - 1))
+    # Butterflies: sums and differences of places that differ in one bit of the row or column.
+    turn = f"transform(sequence(0, {n - 1}), i -> if(i & k = 0, t[i] + t[i | k], t[i ^ k] - t[i]))"
+    return F.expr(f"aggregate(array({steps}), cast({block} as array<bigint>), (t, k) -> {turn})")
 
 
 def satd(block: str, size: int = 8) -> Column:
@@ -92,10 +95,14 @@ def nonzero_mask(levels: str) -> Column:
     return F.expr(f"aggregate(transform({levels}, (x, p) -> if(x <> 0, shiftleft(1L, p), 0L)), 0L, (a, b) -> a | b)")
 
 
-def downsample(grid: DataFrame, keys: list[str], row: str, column: str, value: str, width: int, height: int) -> DataFrame:
+def downsample(grid: DataFrame, keys: list[str], row: str, column: str, value: str, width: int | Column, height: int | Column) -> DataFrame:
     """keys, row, column, value: rounded means of 2 x 2 cells; the last row or column counts twice
-    where the size is odd. Weights do the clamping, so it is one group-by."""
-    twice = lambda c, n: F.when((F.col(c) == n - 1) & F.lit(n % 2 == 1), 2).otherwise(1)
+    where the size (a number, or a column of keys) is odd. Weights do the clamping, so it is one
+    group-by."""
+    def twice(c: str, n) -> Column:
+        n = n if isinstance(n, Column) else F.lit(n)
+        return F.when((F.col(c) == n - 1) & (n % 2 == 1), 2).otherwise(1)
+
     w = twice(column, width) * twice(row, height)
     g = grid.groupBy(*keys, F.expr(f"{row} div 2").alias("r2"), F.expr(f"{column} div 2").alias("c2")).agg(F.sum(F.col(value) * w).alias("s"), F.sum(w).alias("n"))
     return g.select(*keys, F.col("r2").alias(row), F.col("c2").alias(column), F.expr("(s + n div 2) div n").alias(value))

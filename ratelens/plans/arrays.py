@@ -131,25 +131,26 @@ _ZZ, _TABLE = blocks.zigzag(), blocks.scaled_table(30)
 with {_CELLS}, {_COEF}, s as (select vec_id, p, cast(floor(round(c * 4, 6) + 0.5) as bigint) as c, q from coef join (select unnest({_ZZ}) as i, unnest(range(64)) as p) z using (i)
   join (select unnest(range(64)) as i, unnest({_TABLE}) as q) t using (i)),
 l as (select vec_id, p, cast(sign(c) * ((abs(c) + q // 2) // q) as integer) as level from s)
-select vec_id, list(level order by p) as levels, cast(sum(case when level <> 0 and p < 63 then 1::bigint << p else 0 end) as bigint) as mask, cast(count(*) filter (where level <> 0) as bigint) as used from l group by vec_id""")
+select vec_id, list(level order by p) as levels, cast(sum(case when level <> 0 then case when p = 63 then (-9223372036854775807 - 1)::hugeint else (1::bigint << p)::hugeint end else 0 end) as bigint) as mask, cast(count(*) filter (where level <> 0) as bigint) as used from l group by vec_id""")
 def quantise_zigzag(spark, sf_dir):
     c = _blocks(spark, sf_dir).select("vec_id", F.transform(blocks.dct8("block"), lambda x: F.floor(F.round(x * 4, 6) + 0.5).cast("long")).alias("c"))
     q = c.select("vec_id", blocks.quantise("c", _TABLE).alias("levels"))
-    mask = F.expr("aggregate(transform(levels, (x, p) -> if(x <> 0 and p < 63, shiftleft(1L, p), 0L)), 0L, (a, b) -> a | b)")
-    return q.select("vec_id", "levels", mask.alias("mask"), F.size(F.filter("levels", lambda x: x != 0)).cast("long").alias("used"))
+    return q.select("vec_id", "levels", blocks.nonzero_mask("levels").alias("mask"), F.size(F.filter("levels", lambda x: x != 0)).cast("long").alias("used"))
 
 
-_GRID = "g as (select (l_suppkey - 1) % 16 as y, l_linenumber - 1 as x, cast(max(l_quantity) as bigint) as v from lineitem where l_suppkey <= 16 group by all)"
+_GRID = "g as (select l_suppkey // 16 as plane, l_suppkey % 16 as y, l_linenumber - 1 as x, cast(max(l_quantity) as bigint) as v from lineitem group by all)"
 
 
 @query("q25_downsample_upsample", f"""
-with {_GRID}, d as (select y // 2 as y, x // 2 as x, sum(v * case when x = 6 then 2 else 1 end) as s, sum(case when x = 6 then 2 else 1 end) as n from g group by all),
-m as (select y, x, (s + n // 2) // n as v from d), w as (select *, lag(v, 1, v) over (partition by y order by x) as a, lead(v, 1, v) over (partition by y order by x) as b from m)
-select cast(y as bigint) as y, cast(x * 2 as bigint) as x, cast(3 * v + a as bigint) as v from w union all select y, x * 2 + 1, 3 * v + b from w""")
+with {_GRID}, d as (select plane, y // 2 as y, x // 2 as x, sum(v * case when x = 6 then 2 else 1 end) as s, sum(case when x = 6 then 2 else 1 end) as n from g group by all),
+m as (select plane, y, x, (s + n // 2) // n as v from d), w as (select *, lag(v, 1, v) over (partition by plane, y order by x) as a, lead(v, 1, v) over (partition by plane, y order by x) as b from m)
+select cast(plane as bigint) as plane, cast(y as bigint) as y, cast(x * 2 as bigint) as x, cast(3 * v + a as bigint) as v from w union all select plane, y, x * 2 + 1, 3 * v + b from w""")
 def downsample_upsample(spark, sf_dir):
-    g = _t(spark, sf_dir, "lineitem").where("l_suppkey <= 16").groupBy(((F.col("l_suppkey") - 1) % 16).alias("y"), (F.col("l_linenumber") - 1).alias("x")).agg(F.max("l_quantity").cast("long").alias("v"))
-    d = blocks.downsample(g, [], "y", "x", "v", 7, 16)
-    return blocks.upsample_row(d, [], "y", "x", "v").select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("v").cast("long").alias("v"))
+    """Every 16 suppliers are a plane of 16 rows and 7 columns."""
+    at = F.col("l_suppkey")
+    g = _t(spark, sf_dir, "lineitem").groupBy(F.floor(at / 16).alias("plane"), (at % 16).alias("y"), (F.col("l_linenumber") - 1).alias("x")).agg(F.max("l_quantity").cast("long").alias("v"))
+    d = blocks.downsample(g, ["plane"], "y", "x", "v", 7, 16)
+    return blocks.upsample_row(d, ["plane"], "y", "x", "v").select(*[F.col(c).cast("long").alias(c) for c in ("plane", "y", "x", "v")])
 
 
 @query("q26_activity_levels", """

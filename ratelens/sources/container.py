@@ -78,9 +78,7 @@ def read_ppm(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _little(content: str, offset: int, size: int) -> Column:
-    h = F.hex(F.substring(content, offset + 1, size))
-    swapped = F.concat(*[F.substring(h, 2 * i + 1, 2) for i in reversed(range(size))])
-    return F.conv(swapped, 16, 10).cast("long")
+    return sum(F.shiftleft(F.ascii(F.decode(F.substring(content, offset + 1 + i, 1), "ISO-8859-1")).cast("long"), 8 * i) for i in range(size))
 
 
 def features_valid(version: Column, flags: Column) -> Column:
@@ -116,7 +114,9 @@ def read_headers(df: DataFrame, magic: bytes, content: str = "content") -> DataF
     n = F.octet_length(content)
     version = _little(content, 5, 1)
     fields = [("version", 5, 1), ("header_size", 6, 2), ("width", 8, 4), ("height", 12, 4), ("payload_size", 16, 4), ("flags", 20, 4), ("quality", 24, 1), ("chroma", 25, 1), ("effort", 26, 1), ("chroma_quality", 27, 1), ("metadata_size", 28, 4)]
-    out = df.withColumn("header", F.when(n >= 32, F.struct(*[_little(content, o, s).alias(name) for name, o, s in fields])))
+    # An explode of one entry keeps Spark from pasting the struct into each use of a field.
+    found = F.when(n >= 32, F.struct(*[_little(content, o, s).alias(name) for name, o, s in fields]))
+    out = df.select(*[c for c in df.columns if c not in ("header", "status")], F.explode(F.array(found)).alias("header"))
     h = lambda c: F.col(f"header.{c}")
     supported = F.lit(True)
     for v, mask in SUPPORTED.items():
