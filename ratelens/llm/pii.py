@@ -7,9 +7,12 @@ the check digit that fits, an address stays an address and a date a date. Equal
 pseudonyms in every document, and the key's holder can turn them back (inverse=True).
 
 Two halves of a value take turns: each round adds to one half, digit by digit or letter by letter
-in its own alphabet, a SHA-256 stream of the key, the round and the other half. Addresses take
-turns as two 16-bit halves, dates as a pair of moduli whose product is the 146,097 days of a
-400-year cycle. What fails validation stays as it is.
+in its own alphabet, a SHA-256 stream of the key, the kind, the round and the other half. Numbers
+are permuted without their separators, which are put back, so that a number is linked however it is
+grouped. Addresses take turns as two 16-bit halves, dates as a pair of moduli whose product is the
+146,097 days of a 400-year cycle. Where a kind's valid values are fewer than its format's (social
+security numbers, dates that only the month-first reading allows), the permutation is repeated
+until it meets a valid one, which makes it one of the valid values. What fails validation stays.
 """
 
 from __future__ import annotations
@@ -17,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROUNDS = 8
+#: Rounds of the network; how often it is repeated at most to meet a valid value (a tenth to four tenths miss each time).
+ROUNDS, WALK = 8, 64
 FIRST_DAY, DAYS, LEFT, RIGHT = "1800-01-01", 146_097, 189, 773
 
 # Patterns of personal data, tried in this order.
@@ -89,6 +93,23 @@ def _numbers(a: str, b: str, left: int, right: int, key: str, inverse: bool, fin
     )
 
 
+def _bind(value: str, name: str, body: str) -> str:
+    """body with name standing for value, which is evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _refill(m: str, pattern: str, filled: str) -> str:
+    """m with its characters of a class replaced, in turn, by those of filled."""
+    step = f"if(c rlike '{pattern}', named_struct('o', concat(z.o, substring(f, z.n + 1, 1)), 'n', z.n + 1), named_struct('o', concat(z.o, c), 'n', z.n))"
+    return _bind(filled, "f", f"aggregate(split({m}, ''), named_struct('o', '', 'n', 0), (z, c) -> {step}, z -> z.o)")
+
+
+def _walk(start: str, step, valid) -> str:
+    """step(start), and step of that while it isn't valid."""
+    once = _bind(step("z.v"), "y", f"named_struct('v', y, 'ok', {valid('y')})")
+    return f"aggregate(sequence(1, {WALK}), named_struct('v', {start}, 'ok', false), (z, t) -> if(z.ok, z, {once}), z -> z.v)"
+
+
 def _check_sum(digits: str, odd: int) -> str:
     """Luhn sum of the digits, doubling every second from the right, from the last if odd is 0."""
     return f"aggregate(transform(split(reverse({digits}), ''), (c, j) -> if((j + {odd}) % 2 = 0, cast(c as int) * 2 - if(c >= '5', 9, 0), cast(c as int))), 0, (t, x) -> t + x)"
@@ -111,61 +132,67 @@ def _kind(m: str) -> str:
         f" when ({full(ISO_DATE)} or {full(DAY_DATE)}) then if({day} is not null and {day} >= date'{FIRST_DAY}' and {day} < date_add(date'{FIRST_DAY}', {DAYS}), 'date', null)"
         f" when {full(ADDRESS)} then if(forall(split({m}, '[.]'), o -> cast(o as int) < 256), 'ip', null)"
         f" when {m} like '+%' or {m} like '(%' or {full('[0-9]{3}-[0-9]{3}-[0-9]{4}')} then 'phone'"
-        f" when {full(SOCIAL)} then if({m} not rlike '^(000|666|9)|-00-|-0000$', 'ssn', null)"
+        f" when {full(SOCIAL)} then if({_social(digits)}, 'ssn', null)"
         f" when {m} rlike '^[A-Z]' then if({iban}, 'iban', null)"
         f" when length({digits}) between 13 and 19 and {_check_sum(digits, 1)} % 10 = 0 then 'card' end"
     )
 
 
+def _social(digits: str) -> str:
+    return f"({digits} not rlike '^(?:000|666|9)|^...00|0000$')"
+
+
 def _day(m: str) -> str:
     """The date of an ISO or day-first value; month-first where only that is a date."""
     d = f"translate({m}, './', '--')"
     return f"coalesce(try_to_date({d}, 'yyyy-MM-dd'), try_to_date({d}, 'dd-MM-yyyy'), try_to_date({d}, 'MM-dd-yyyy'))"
 
 
-def _pseudonym(m: str, kind: str, key: str, inverse: bool) -> str:
+def _pseudonym(m: str, kind: str, secret: str, inverse: bool) -> str:
+    key = f"concat({secret}, ':', {kind})"
+    digits = f"regexp_replace({m}, '[^0-9]', '')"
     at = f"instr({m}, '@')"
     host = f"substring({m}, {at} + 1)"
     top = f"regexp_extract({host}, '[.][A-Za-z]+$', 0)"
     name = f"concat(substring({m}, 1, {at} - 1), '@', substring({host}, 1, length({host}) - length({top})))"
-    lead = f"regexp_extract({m}, '^[+][0-9]+(?:[ .-]|(?=[(]))|^[+][0-9]', 0)"
-    body = f"substring({m}, 1, length({m}) - 1)"
-    card = _characters(body, key, inverse)
-    check = f"pmod(10 - {_check_sum("regexp_replace(x, '[^0-9]', '')", 0)}, 10)"
+    # Behind a plus the first digit stays, however the country's code is parted from the rest.
+    first = f"if({m} like '+%', 1, 0)"
+    phone = _bind(digits, "d", f"concat(substring(d, 1, {first}), {_characters(f'substring(d, 1 + {first})', key, inverse)})")
+    body = _characters(f"substring({digits}, 1, length({digits}) - 1)", key, inverse)
+    card = _bind(body, "x", f"concat(x, pmod(10 - {_check_sum('x', 0)}, 10))")
+    social = _walk(digits, lambda v: _characters(v, key, inverse), _social)
     octet = lambda i: f"cast(split({m}, '[.]')[{i}] as int)"
     address = _numbers(
         f"{octet(0)} * 256 + {octet(1)}", f"{octet(2)} * 256 + {octet(3)}", 65536, 65536, key, inverse,
         "concat_ws('.', s.a div 256, s.a % 256, s.b div 256, s.b % 256)",
     )
+    turned = lambda n: _numbers(f"({n}) div {RIGHT}", f"({n}) % {RIGHT}", LEFT, RIGHT, key, inverse, f"cast(s.a * {RIGHT} + s.b as int)")
+    day = lambda n: f"date_add(date'{FIRST_DAY}', {n})"
     n = f"datediff({_day(m)}, date'{FIRST_DAY}')"
-    day = f"date_add(date'{FIRST_DAY}', cast(s.a * {RIGHT} + s.b as int))"
-    d = f"translate({m}, './', '--')"
+    spelt = lambda n, form: f"date_format({day(n)}, {form})"
     mark = f"substring({m}, 3, 1)"
-    date = _numbers(
-        f"{n} div {RIGHT}", f"{n} % {RIGHT}", LEFT, RIGHT, key, inverse,
-        f"case when {m} rlike '^[0-9]{{4}}' then date_format({day}, 'yyyy-MM-dd')"
-        f" when try_to_date({d}, 'dd-MM-yyyy') is not null then concat_ws({mark}, date_format({day}, 'dd'), date_format({day}, 'MM'), date_format({day}, 'yyyy'))"
-        f" else concat_ws({mark}, date_format({day}, 'MM'), date_format({day}, 'dd'), date_format({day}, 'yyyy')) end",
+    # A month-first value is told by its day over 12: it takes its turns among those.
+    late = _walk(n, turned, lambda y: f"(dayofmonth({day(y)}) > 12)")
+    date = (
+        f"case when {m} rlike '^[0-9]{{4}}' then {spelt(turned(n), _quote('yyyy-MM-dd'))}"
+        f" when try_to_date(translate({m}, './', '--'), 'dd-MM-yyyy') is not null then translate({spelt(turned(n), _quote('dd-MM-yyyy'))}, '-', {mark})"
+        f" else translate({spelt(late, _quote('MM-dd-yyyy'))}, '-', {mark}) end"
     )
-    account = _characters(f"substring({m}, 5)", key, inverse)
-    fit = f"lpad(cast(98 - {_mod97(f"concat(replace(x, ' ', ''), substring({m}, 1, 2), '00')")} as string), 2, '0')"
+    plain = f"replace({m}, ' ', '')"
+    account = _bind(_characters(f"substring({plain}, 5)", key, inverse), "x", f"concat(substring({m}, 1, 2), lpad(cast(98 - {_mod97(f"concat(x, substring({m}, 1, 2), '00')")} as string), 2, '0'), x)")
     return (
         f"case {kind} when 'email' then concat({_characters(name, key, inverse)}, {top})"
-        f" when 'phone' then concat({lead}, {_characters(f'substring({m}, length({lead}) + 1)', key, inverse)})"
-        f" when 'card' then element_at(transform(array({card}), x -> concat(x, {check})), 1)"
-        f" when 'ip' then {address} when 'date' then {date}"
-        f" when 'iban' then element_at(transform(array({account}), x -> concat(substring({m}, 1, 2), {fit}, x)), 1)"
-        f" when 'secret' then {_characters(m, key, inverse, True)}"
-        f" else {_characters(m, key, inverse)} end"
+        f" when 'phone' then {_refill(m, '[0-9]', phone)} when 'card' then {_refill(m, '[0-9]', card)} when 'ssn' then {_refill(m, '[0-9]', social)}"
+        f" when 'ip' then {address} when 'date' then {date} when 'iban' then {_refill(m, '[A-Z0-9]', account)}"
+        f" else {_characters(m, key, inverse, True)} end"
     )
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", inverse: bool = False) -> DataFrame:
     """docs with `text` pseudonymised and `pii`, an array of (kind, value, pseudonym) in text order
     (a column of this name is replaced). Null texts stay null with an empty array; texts without a
-    valid value stay as they are; repeated rows come out equal. Inverse restores values whose
-    pseudonyms are found and validated again: cards, accounts, addresses, emails,
-    phones, secrets and ISO dates. The key is part of the plan: take it from a secret store and keep plans private."""
+    valid value stay as they are; repeated rows come out equal. Different values of a kind have
+    different pseudonyms, and inverse restores them where they are found again as the same kind. The key is part of the plan: take it from a secret store and keep plans private."""
     if not key:
         raise ValueError("a key is needed")
     found = f"regexp_extract_all({text}, {_quote(ANY)}, 0)"
