@@ -1,10 +1,10 @@
 """Main text of HTML pages by two-pass block rules.
 
-The page is cut into blocks at block-level tags. First pass: each block is judged by where it
-stands (menus, footers, adverts and the like; inside an article or not), its length, its share of
-stop words and its share of linked characters: good, bad or, if short or doubtful, open. Second
-pass: an open block takes the label of its nearest decided neighbour on the same side of the
-article's border.
+The page is cut into blocks at block-level tags. First pass: each block is judged by its length, its
+share of stop words and its share of linked characters: good, bad or, if short or doubtful, open.
+Where markup says that a block is a menu, footer, advert and the like it is bad, and where it says
+that a block is inside an article fewer stop words will do. Second pass: an open block takes the
+label of its nearest decided neighbour on the same side of the article's border.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\
 _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 # Element names and name words of web pages.
-RAW = frozenset("script style title textarea noscript template iframe svg math select object canvas audio video head".split()) - {"head"}
+RAW = frozenset("script style title textarea noscript template iframe select".split())
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -49,7 +49,8 @@ STATE_WORDS = frozenset("has no with without hide show is not".split())
 HEADER_WORDS = frozenset(["header", "head"])
 ARTICLE_WORDS = frozenset("article content post entry story".split())
 
-SHORT, LONG, FEW_STOPS, MANY_STOPS, MANY_LINKS = 70, 200, 0.2, 0.3, 0.5
+#: Characters of a short and a long block, stop words among a block's words, linked characters among its characters.
+SHORT, LONG, FEW_STOPS, MANY_STOPS, SOME_LINKS, MANY_LINKS = 70, 200, 0.1, 0.17, 0.2, 0.5
 
 
 class _Block:
@@ -169,21 +170,22 @@ def blocks(page: str) -> list[_Block]:
     return out
 
 
+def _stops(text: str) -> float:
+    words = text.split(" ")
+    return sum(w.lower().strip(".,;:!?\"'()%&#$*") in STOP_WORDS for w in words) / len(words)
+
+
 def _first_pass(b: _Block) -> int:
-    """1 good, -1 bad, 0 open."""
-    if b.boiler:
-        return -1
-    words = b.text.split(" ")
-    stops = sum(w.lower().strip(".,;:!?\"'()%&#$*") in STOP_WORDS for w in words) / len(words)
-    if b.link > MANY_LINKS:
+    """1 good, -1 bad, 0 open. Length, stop words and links decide; a block inside an article needs
+    only half the stop words, and one without any is open there, not bad."""
+    if b.boiler or b.link > MANY_LINKS or b.text[0] == "\u00a9":
         return -1
-    if b.inside:
-        return 1 if len(b.text) >= SHORT else 0
     if len(b.text) < SHORT:
-        return -1 if b.link > 0.2 else 0
+        return -1 if b.link > SOME_LINKS and not b.inside else 0
+    stops = _stops(b.text) * (2 if b.inside else 1)
     if stops >= MANY_STOPS or stops >= FEW_STOPS and len(b.text) >= LONG:
         return 1
-    return -1 if stops < FEW_STOPS / 2 else 0
+    return -1 if stops < FEW_STOPS / 2 and not b.inside else 0
 
 
 def _second_pass(found: list[_Block]) -> None:

@@ -268,3 +268,40 @@ def test_values_are_linked_however_they_are_grouped(spark):
         assert len(r.pii) == 1, r
         found.setdefault(r.doc_id, set()).add(re.sub("[^A-Z0-9]", "", r.pii[0].pseudonym))
     assert all(len(v) == 1 for v in found.values()), found
+
+
+PROSE = [
+    "The harbour was built by the town in the years of the long war, and it is still the place from which the boats go out to the sea.",
+    "It is said that the old crane on the quay was the first of its kind, but there is no record of it in the books of the port.",
+    "For the visitor there is a path along the wall, with a view of the islands and of the lighthouse that was restored by the county.",
+]
+
+
+def _bare_page():
+    """No element or name tells what a block is."""
+    links = "".join(f'<div><a href="/{w}">{w}</a></div>' for w in ("Home", "Fish", "Boats"))
+    junk = "<div>SKU 4471-A / 4471-B / 4471-C / 4471-D / 4471-E / 4471-F / 4471-G / 4471-H / 4471-I</div>"
+    body = f"<h1>Harbour walls</h1><p>{PROSE[0]}</p><p>Crane</p><p>{PROSE[1]}</p><p>{PROSE[2]}</p>"
+    return f"<html><body><div>{links}</div><div>{body}</div><div>{junk}</div><div>{links}Terms apply</div></body></html>"
+
+
+def test_density_and_neighbours_decide_without_markup(monkeypatch):
+    want = "\n\n".join(["Harbour walls", PROSE[0], "Crane", PROSE[1], PROSE[2]])
+    assert html_text.main_text(_bare_page()) == want
+    with monkeypatch.context() as m:  # without the second pass short blocks are lost
+        m.setattr(html_text, "_second_pass", lambda found: None)
+        assert html_text.main_text(_bare_page()) == "\n\n".join(PROSE)
+    monkeypatch.setattr(html_text, "STOP_WORDS", frozenset())  # and without stop words the prose is
+    assert html_text.main_text(_bare_page()) == ""
+
+
+def test_blocks_of_an_article_without_stop_words_follow_their_neighbours():
+    table = "Zander 12 kg; Hecht 7 kg; Aal 3 kg; Barsch 9 kg; Wels 22 kg; Karpfen 14 kg; Schleie 5 kg; Forelle 8 kg"
+    page = f"<article><p>{PROSE[0]}</p><p>{table}</p><p>{PROSE[1]}</p><p>where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article><footer>{PROSE[2]}</footer>"
+    assert html_text.main_text(page) == "\n\n".join([PROSE[0], table, PROSE[1], "where x=2 holds"])
+
+
+def test_a_very_long_page(spark):
+    page = "<article>" + "".join(f"<p>{PROSE[i % 3]} {i}</p>" for i in range(20000)) + "</article>"
+    r = html_text.extract(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).first()
+    assert r.n_chars == len(r.text) and r.text.count("\n\n") == 19999 and r.text.endswith("19999")
