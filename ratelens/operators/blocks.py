@@ -18,6 +18,8 @@ LUMA = [
     18, 22, 37, 56, 68, 109, 103, 77, 24, 35, 55, 64, 81, 104, 113, 92,
     49, 64, 78, 87, 103, 121, 120, 101, 72, 92, 95, 98, 112, 100, 103, 99,
 ]
+# The base chroma table of the image standard, in row order: its upper left corner, 99 elsewhere.
+CHROMA = [{(0, 0): 17, (0, 1): 18, (0, 2): 24, (0, 3): 47, (1, 0): 18, (1, 1): 21, (1, 2): 26, (1, 3): 66, (2, 0): 24, (2, 1): 26, (2, 2): 56, (3, 0): 47, (3, 1): 66}.get((r, c), 99) for r in range(8) for c in range(8)]
 
 
 def zigzag(size: int = 8) -> list[int]:
