@@ -78,32 +78,41 @@ def _words(line: str) -> str:
 
 def _ranked(words: str, rarity: list[int]) -> str:
     """Of each word its rarity above the low bits of its hash."""
-    table = f"from_json('{json.dumps(rarity)}', 'array<int>')"
-    return f"transform(transform({words}, w -> xxhash64(w)), h -> shiftleft(cast(get({table}, cast(h & {BUCKETS - 1} as int)) as bigint), {BITS}) | (h & {_LOW}L))"
+    table = f"from_json('{json.dumps([x << BITS for x in rarity])}', 'array<bigint>')"
+    return f"transform(transform({words}, w -> xxhash64(w)), h -> get({table}, cast(h & {BUCKETS - 1} as int)) | (h & {_LOW}L))"
 
 
 def _prefix(n: str) -> str:
     return f"cast({n} - ({NUMERATOR} * {n} + {DENOMINATOR - 1}) div {DENOMINATOR} + 1 as int)"
 
 
+def _index(n: str) -> str:
+    """The prefix for partners that are no shorter."""
+    return f"cast({n} - (2 * {NUMERATOR} * {n} + {NUMERATOR + DENOMINATOR - 1}) div {NUMERATOR + DENOMINATOR} + 1 as int)"
+
+
 def _screened(lines: DataFrame, keys: list[str], rarity: list[int], hot: int) -> DataFrame:
     """keys and ln of the lines that may share a token of their prefixes with another. A line of n
     places, so of at most n tokens, sends every shingle whose first word is among the rarest that
-    a prefix of n has: it holds at least as many tokens. Arrays are bound by nested lambdas, as
-    Spark would paste them into each use."""
+    a prefix of n has: it holds at least as many tokens. Of two lines that match, the shorter one
+    shares one of its n - ceil(8 / 9 n) + 1 rarest (index tokens), so a token that is nobody's
+    index token leads nowhere. Arrays are bound by nested lambdas, as Spark would paste them into
+    each use."""
     me = [*keys, "ln"]
     n = f"greatest(size(ws) - {WORDS - 1}, 1)"
-    last = f"transform(array(sort_array(array_distinct(slice(xs, 1, {n})))), d -> element_at(d, least({_prefix(n)}, size(d))))[0]"
+    at = lambda k: f"element_at(d, least({k}, size(d)))"
+    last = f"transform(array(sort_array(array_distinct(slice(xs, 1, {n})))), d -> named_struct('probe', {at(_prefix(n))}, 'index', {at(_index(n))}))[0]"
     token = f"xxhash64({', '.join(f'get(ws, i + {j})' for j in range(WORDS))})"
-    # Bit 0 marks a frequent first word; the salt then takes the next bits, so that a row is a hash and a line.
-    salt = f"(pmod(xxhash64({', '.join(me)}), {SALTS}L) * 2 + 1)"
-    marked = f"if(shiftright(get(xs, i), {BITS}) >= {hot}, ({token} & {~(2 * SALTS - 1)}L) | {salt}, {token} & -2L)"
-    sent = f"transform(array({last}), last -> array_distinct(transform(filter(sequence(0, {n} - 1), i -> get(xs, i) <= last), i -> {marked})))[0]"
+    # Bit 0 marks a frequent first word, whose tokens have the salt in the next bits but one, bit 1 what
+    # is no index token: a row is a hash and a line.
+    salt = f"shiftleft(pmod(xxhash64({', '.join(me)}), {SALTS}L), 2)"
+    marked = f"(if(shiftright(get(xs, i), {BITS}) >= {hot}, ({token} & {~(4 * SALTS - 1)}L) | {salt} | 1L, {token} & -4L) | if(get(xs, i) <= last.index, 0L, 2L))"
+    sent = f"transform(array({last}), last -> array_distinct(transform(filter(sequence(0, {n} - 1), i -> get(xs, i) <= last.probe), i -> {marked})))[0]"
     tokens = f"transform(array({_words('line')}), ws -> transform(array({_ranked('ws', rarity)}), xs -> {sent})[0])[0]"
-    rows = lines.select(*me, F.explode(F.expr(tokens)).alias("token"))
-    w = Window.partitionBy("token").orderBy(*me)
-    met = rows.withColumns({"rank": F.row_number().over(w), "next": F.lead("ln").over(w)}).where("rank > 1 or next is not null or token & 1 = 1")
-    return met.select(*me).distinct()
+    rows = lines.select(*me, F.explode(F.expr(tokens)).alias("v")).select(*me, F.expr("v & -3L").alias("token"), F.expr("v & 2L").alias("probe"))
+    w = Window.partitionBy("token").orderBy("probe", *me)
+    met = rows.withColumns({"least": F.first("probe").over(w), "rank": F.row_number().over(w), "next": F.lead("ln").over(w)})
+    return met.where("least = 0 and (rank > 1 or next is not null) or token & 1 = 1").select(*me).distinct()
 
 
 def _sets(docs: DataFrame, asked: DataFrame, keys: list[str], rarity: list[int]) -> DataFrame:
@@ -157,12 +166,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, me: list[str]) -> DataFrame:
 
 
 def _near(n: str, pos: str, own: list[str], m: str, at: str, theirs: list[str]) -> str:
-    """Length, position and sketch filters; positions count from 1 in each sorted set."""
+    """Length, prefix, position and sketch filters; positions count from 1 in each sorted set. Sets
+    that overlap by t share a token among the first n - t + 1 and m - t + 1."""
     most = NUMERATOR + DENOMINATOR
     bits = " + ".join(f"bit_count({a} ^ {b})" for a, b in zip(own, theirs))
+    t = f"(({NUMERATOR} * ({n} + {m}) + {most - 1}) div {most})"
     return (
-        f"{n} * {DENOMINATOR} >= {m} * {NUMERATOR} and {m} * {DENOMINATOR} >= {n} * {NUMERATOR}"
-        f" and (1 + least({n} - {pos}, {m} - {at}) + least({pos} - 1, {at} - 1)) * {most} >= {NUMERATOR} * ({n} + {m})"
+        f"{n} * {DENOMINATOR} >= {m} * {NUMERATOR} and {m} * {DENOMINATOR} >= {n} * {NUMERATOR} and {pos} <= {n} - {t} + 1 and {at} <= {m} - {t} + 1"
+        f" and 1 + least({n} - {pos}, {m} - {at}) + least({pos} - 1, {at} - 1) >= {t}"
         f" and ({bits}) * {most} <= {DENOMINATOR - NUMERATOR} * ({n} + {m})"
     )
 
