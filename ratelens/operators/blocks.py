@@ -146,3 +146,22 @@ def segments(df: DataFrame, keys: list[str], item: str, score: str) -> DataFrame
     return picked.groupBy(*keys).applyInPandas(run, f"{schema}, level int, centre long")
 
 
+def smooth(grid: DataFrame, keys: list[str], row: str, column: str, value: str, weight: int = 36) -> DataFrame:
+    """keys, row, column, value moved towards the mean of the 3 x 3 cells around it, by 9 / weight of
+    the way, rounded to the nearest (halves up); the border repeats. Two pairs of lags; sums of three
+    in a row are taken first."""
+    across = Window.partitionBy(*keys, row).orderBy(column)
+    down = Window.partitionBy(*keys, column).orderBy(row)
+    v = F.col(value)
+    g = grid.withColumn("__h", F.coalesce(F.lag(v).over(across), v) + v + F.coalesce(F.lead(v).over(across), v))
+    h = F.col("__h")
+    delta = F.coalesce(F.lag(h).over(down), h) + h + F.coalesce(F.lead(h).over(down), h) - 9 * v
+    return g.select(*keys, row, column, (v + F.floor((delta + weight // 2) / F.lit(weight))).cast("long").alias(value))
+
+
+def errors(df: DataFrame, keys: list[str], reference: str, got: str) -> DataFrame:
+    """keys, n, sse, mse and psnr_db (null where nothing differs) of values held against a reference."""
+    d = (F.col(reference) - F.col(got)).cast("double")
+    g = df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(d * d).alias("sse"))
+    mse = F.col("sse") / F.col("n")
+    return g.withColumn("mse", mse).withColumn("psnr_db", F.when(mse > 0, 10 * F.log10(F.lit(65025.0) / mse)))

@@ -46,19 +46,48 @@ def conclusion(low: Column, high: Column, valid: Column, total: Column) -> Colum
     )
 
 
-def stratified_draws(units: DataFrame, stratum: str, unit: str, replicates: int, a: int = 7919, b: int = 104729, c: int = 1299709) -> DataFrame:
-    """replicate, unit, weight: in each replicate each stratum of n units is drawn from n times, the
-    unit at place pmod(replicate * a + slot * b + replicate * slot * c, n). Units are placed by a
-    window over their stratum, and draws are counted before they are returned."""
-    placed = units.select(stratum, unit).withColumns({
+def drawn(n: str, *parts: str) -> Column:
+    """A number below the SQL n that the parts decide: 60 bits of their MD5, so that any system that
+    has MD5 draws the same."""
+    text = ", ':', ".join(f"cast({p} as string)" for p in parts)
+    return F.expr(f"pmod(cast(conv(substring(md5(concat({text})), 1, 15), 16, 10) as bigint), {n})")
+
+
+def _placed(units: DataFrame, stratum: str, unit: str) -> DataFrame:
+    """stratum, unit, place (from 0 in the order of units) and n, the stratum's size. One row a unit."""
+    return units.select(stratum, unit).withColumns({
         "place": F.expr(f"row_number() over (partition by {stratum} order by {unit}) - 1"), "n": F.expr(f"count(*) over (partition by {stratum})"),
     })
+
+
+def stratified_draws(units: DataFrame, stratum: str, unit: str, replicates: int) -> DataFrame:
+    """replicate, stratum, unit, weight: in each replicate each stratum of n units is drawn from n
+    times with replacement, by a hash of (replicate, stratum, slot). Draws are counted before they
+    are joined to units, so weights follow the multinomial distribution."""
+    placed = _placed(units, stratum, unit)
     draws = placed.select(stratum, "n", F.col("place").alias("slot")).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    draws = draws.withColumn("place", F.expr(f"pmod(cast(replicate as bigint) * {a} + cast(slot as bigint) * {b} + cast(replicate as bigint) * slot * {c}, n)").cast("int"))
+    draws = draws.withColumn("place", drawn("n", "replicate", stratum, "slot").cast("int"))
     counted = draws.groupBy("replicate", stratum, "place").agg(F.count("*").alias("weight"))
     return counted.join(placed.select(stratum, unit, "place"), [stratum, "place"]).select("replicate", stratum, unit, "weight")
 
 
+def nested_bootstrap(samples: DataFrame, stratum: str, unit: str, block: str, index: str, candidate: str, anchor: str, blocks: int, repetitions: int, replicates: int) -> DataFrame:
+    """replicate, change_pct: paired bootstrap of nested timings. In each replicate units are drawn in
+    their strata, for each drawn unit blocks, and in each drawn block repetitions; both sides use the
+    same draws. A drawn unit gives the median of either side's times, and the change is that of the
+    sums of medians. Samples have one row for each unit, block and index, both from 0, with both
+    sides' times; drawn places without a row give no time."""
+    placed = _placed(samples.select(stratum, unit).distinct(), stratum, unit)
+    draws = placed.select(stratum, "n", F.col("place").alias("slot")).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    draws = draws.withColumn("place", drawn("n", "replicate", stratum, "slot").cast("int")).join(placed.select(stratum, "place", unit), [stratum, "place"])
+    draws = draws.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("__block", drawn(str(blocks), "replicate", stratum, "slot", "b"))
+    draws = draws.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1)))).withColumn("__index", drawn(str(repetitions), "replicate", stratum, "slot", "b", "r"))
+    times = samples.select(F.col(unit).alias("__unit"), F.col(block).alias("__b"), F.col(index).alias("__i"), F.col(candidate).alias("__c"), F.col(anchor).alias("__a"))
+    met = draws.join(times, (F.col(unit) == F.col("__unit")) & (F.col("__block") == F.col("__b")) & (F.col("__index") == F.col("__i")))
+    medians = met.groupBy("replicate", stratum, "slot").agg(F.median("__c").alias("c"), F.median("__a").alias("a"))
+    return medians.groupBy("replicate").agg(((F.sum("c") / F.sum("a") - 1) * 100).alias("change_pct"))
+
+
 def bootstrap_means(units: DataFrame, stratum: str, unit: str, value: str, replicates: int) -> DataFrame:
     """replicate, mean: the weighted mean of value over every replicate's draws."""
     w = stratified_draws(units, stratum, unit, replicates)

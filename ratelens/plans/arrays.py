@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ratelens.operators import blocks, symbols
+from ratelens.operators import blocks, codec, monitor, quality, search, symbols
 from ratelens.plans.evidence import _t
 from ratelens.plans.registry import query
 
@@ -167,3 +167,52 @@ def activity_levels(spark, sf_dir):
 def segmentation(spark, sf_dir):
     p = _t(spark, sf_dir, "part").withColumn("score", F.round(F.col("p_retailprice") * 16))
     return blocks.segments(p, ["p_brand"], "p_partkey", "score")
+
+
+@query("q42_cpu_rates", """
+with s as (select user_id % 7 as host, user_id as pid, cast(floor(epoch(ts)) as bigint) // 3600 as hour, event_id % 3 as started, cast(max(event_id) as bigint) as ticks from events group by all),
+r as (select host, pid, hour, greatest(0, (ticks - lag(ticks) over w) / (100.0 * (hour - lag(hour) over w))) as cores, lag(hour) over w as before from s window w as (partition by host, pid, started order by hour))
+select host, hour as at, count(*) filter (where cores >= 0.5) as busy, round(sum(cores), 6) as cores, count(*) filter (where cores >= 0.5) > 0 or sum(cores) >= 1 as disturbed from r where before is not null group by host, hour""")
+def cpu_rates(spark, sf_dir):
+    """Users are processes of seven hosts, event numbers their ticks, hours the snapshots."""
+    e = _t(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("host"), F.col("user_id").alias("pid"), F.expr("unix_timestamp(ts) div 3600").alias("at"), (F.col("event_id") % 3).alias("started"), "event_id")
+    s = e.groupBy("host", "pid", "at", "started").agg(F.max("event_id").cast("long").alias("ticks"))
+    d = monitor.disturbances(monitor.cpu_rates(s, ["host"]), ["host"])
+    return d.select("host", "at", "busy", F.round("cores", 6).alias("cores"), "disturbed")
+
+
+@query("q43_best_layout", """
+with c as (select l_partkey, l_linenumber % 3 as layout, cast(sum(l_quantity) as bigint) as sse, cast(sum(l_suppkey) as bigint) as size from lineitem group by all),
+k as (select *, 100 * sse + 255 * 4 * size * 8 as cost from c), r as (select *, row_number() over (partition by l_partkey order by cost, size, layout) as place from k)
+select l_partkey, cast(layout as integer) as layout, sse, size, cast(cost as bigint) as cost from r where place = 1""")
+def best_layout(spark, sf_dir):
+    c = _t(spark, sf_dir, "lineitem").groupBy("l_partkey", (F.col("l_linenumber") % 3).cast("int").alias("layout")).agg(F.sum("l_quantity").cast("long").alias("sse"), F.sum("l_suppkey").cast("long").alias("size"))
+    k = c.withColumn("cost", search.image_cost(F.col("sse"), F.lit(2).cast("long"), F.col("size") * 8))
+    return search.best_layout(k, ["l_partkey"], "cost", "size", "layout")
+
+
+@query("q44_smooth_plane", """
+with g as (select l_suppkey // 16 as plane, l_suppkey % 16 as y, l_linenumber - 1 as x, cast(max(l_quantity) as bigint) as v from lineitem group by all),
+h as (select *, lag(v, 1, v) over (partition by plane, y order by x) + v + lead(v, 1, v) over (partition by plane, y order by x) as h from g),
+d as (select *, lag(h, 1, h) over (partition by plane, x order by y) + h + lead(h, 1, h) over (partition by plane, x order by y) - 9 * v as d from h),
+s as (select plane, y, x, v, cast(v + floor((d + 18) / 36.0) as bigint) as w from d)
+select cast(plane as bigint) as plane, count(*) as n, round(cast(sum((v - w) * (v - w)) as double), 6) as sse, round(sum((v - w) * (v - w)) / count(*), 9) as mse,
+  case when sum((v - w) * (v - w)) > 0 then round(10 * log10(65025 * count(*) / sum((v - w) * (v - w))), 8) end as psnr_db, cast(sum(w) as bigint) as total from s group by plane""")
+def smooth_plane(spark, sf_dir):
+    """Smoothed planes of 16 suppliers, and how far they are from the planes before."""
+    g = _t(spark, sf_dir, "lineitem").groupBy(F.floor(F.col("l_suppkey") / 16).alias("plane"), (F.col("l_suppkey") % 16).alias("y"), (F.col("l_linenumber") - 1).alias("x")).agg(F.max("l_quantity").cast("long").alias("v"))
+    s = blocks.smooth(g.withColumn("w", F.col("v")), ["plane"], "y", "x", "w").join(g, ["plane", "y", "x"])
+    e = blocks.errors(s, ["plane"], "v", "w").join(s.groupBy("plane").agg(F.sum("w").alias("total")), "plane")
+    return e.select("plane", "n", F.round("sse", 6).alias("sse"), F.round("mse", 9).alias("mse"), F.round("psnr_db", 8).alias("psnr_db"), "total")
+
+
+@query("q45_baseline_images")
+def baseline_images(spark, sf_dir):
+    """Vectors as 8 x 8 images in grey, coded and decoded: sizes, and how far the samples moved."""
+    v = _t(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.round(128 + x * 100).cast("int")))).alias("s"))
+    hexed = F.array_join(F.transform("s", lambda x: F.repeat(F.lpad(F.hex(x), 2, "0"), 3)), "")
+    images = v.select("vec_id", F.lit(8).alias("width"), F.lit(8).alias("height"), F.unhex(hexed).alias("pixels"))
+    files = codec.encode_images(images, ["vec_id"], b"IMAGE", 90, 2)
+    back = codec.decode_images(files, ["vec_id"], b"IMAGE").withColumnsRenamed({"pixels": "got", "error": "failed", "width": "w", "height": "h"})
+    both = quality.pair_metrics(images.join(back, "vec_id"), ["vec_id"], "pixels", "got")
+    return both.join(files.select("vec_id", F.octet_length("content").cast("long").alias("n_bytes")), "vec_id").select("vec_id", "n_bytes", F.round("mse_y", 6).alias("mse_y"), F.round("ssim", 6).alias("ssim"))

@@ -182,13 +182,40 @@ def bracket_search(spark, sf_dir):
 
 @query("q11_bootstrap_means", """
 with u as (select c_mktsegment as s, c_custkey as id, c_acctbal as v, row_number() over (partition by c_mktsegment order by c_custkey) - 1 as place, count(*) over (partition by c_mktsegment) as n from customer),
-d as (select r as replicate, s, ((r * 7919 + place * 104729 + r * place * 1299709) % n) as drawn from u, range(50) as t(r))
+d as (select r as replicate, s, cast('0x' || substr(md5(concat(r, ':', s, ':', place)), 1, 15) as bigint) % n as drawn from u, range(50) as t(r))
 select replicate, round(sum(v) / count(*), 6) as mean from d join u on u.s = d.s and u.place = d.drawn group by replicate""")
 def bootstrap_means(spark, sf_dir):
     c = _t(spark, sf_dir, "customer")
     return statistics.bootstrap_means(c, "c_mktsegment", "c_custkey", "c_acctbal", 50).select(F.col("replicate").cast("long").alias("replicate"), F.round("mean", 6).alias("mean"))
 
 
+_DRAW = "cast('0x' || substr(md5(concat({parts})), 1, 15) as bigint) % {n}"
+
+
+def _draw(n: str, *parts: str) -> str:
+    return _DRAW.format(n=n, parts=", ':', ".join(parts))
+
+
+@query("q41_nested_bootstrap", f"""
+with t as (select l_suppkey as unit, l_returnflag as s, l_linenumber % 3 as block, row_number() over (partition by l_suppkey, l_returnflag, l_linenumber % 3 order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 as i,
+  l_extendedprice as c, l_quantity * 1000 as a from lineitem), k as (select * from t where i < 4),
+u as (select s, unit, row_number() over (partition by s order by unit) - 1 as place, count(*) over (partition by s) as n from (select distinct s, unit from k)),
+d as (select r as replicate, s, place as slot, {_draw('n', 'r', 's', 'place')} as drawn from u, range(20) as x(r)),
+e as (select replicate, d.s, slot, u.unit, {_draw('3', 'replicate', 'd.s', 'slot', 'b')} as block, b from d join u on u.s = d.s and u.place = d.drawn, range(3) as x(b)),
+f as (select replicate, s, slot, unit, block, {_draw('4', 'replicate', 's', 'slot', 'b', 'r')} as i from e, range(4) as x(r)),
+m as (select replicate, f.s, slot, median(c) as c, median(a) as a from f join k on k.unit = f.unit and k.s = f.s and k.block = f.block and k.i = f.i group by all)
+select replicate, round((sum(c) / sum(a) - 1) * 100, 6) as change_pct from m group by replicate""")
+def nested_bootstrap(spark, sf_dir):
+    """Suppliers' items of one flag are a unit, line numbers modulo 3 its blocks, four items of each its repetitions."""
+    t = _t(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", "l_returnflag", F.format_string("%06d", "l_suppkey")).alias("unit"), F.col("l_returnflag").alias("s"), (F.col("l_linenumber") % 3).alias("block"),
+        F.expr("row_number() over (partition by l_suppkey, l_returnflag, l_linenumber % 3 order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1").alias("i"),
+        F.col("l_extendedprice").alias("c"), (F.col("l_quantity") * 1000).alias("a"),
+    )
+    found = statistics.nested_bootstrap(t.where("i < 4"), "s", "unit", "block", "i", "c", "a", 3, 4, 20)
+    return found.select(F.col("replicate").cast("long").alias("replicate"), F.round("change_pct", 6).alias("change_pct"))
+
+
 @query("q12_won_tied_lost", f"""
 with {_ELIGIBLE}, v as (select o_custkey % 7 as bunch, case when reason is null then round(cs / a_s - 1, 6) end as v from r),
 s as (select bunch, count(*) filter (where v < -1e-9) as won, count(*) filter (where abs(v) <= 1e-9) as tied, count(*) filter (where v > 1e-9) as lost, count(*) filter (where v is null) as missing,
