@@ -113,9 +113,11 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id
 
     # Members of a group take the group's places in the order of (bucket, doc_id).
     plan = cells.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("shard", "n"))).alias("plan"))  # at most shards + 1 entries
-    members = spot.join(plan.select("key"), "key", "left_semi")
+    # A group's rows are found by (key, bucket): a text with any number of copies is many such cells.
+    grouped = cut(spot.select("key", "bucket").distinct().join(plan.select("key"), "key"))
+    members = spot.join(grouped, ["key", "bucket"], "left_semi")
     ranked = _running(members, ["key"], "bucket", ["doc_id"], F.lit(1))
-    by_bucket = ranked.select("key", "bucket").distinct().join(plan, "key").select(F.col("key").alias("pk"), F.col("bucket").alias("pb"), "plan")
+    by_bucket = grouped.join(plan, "key").select(F.col("key").alias("pk"), F.col("bucket").alias("pb"), "plan")
     ends = F.aggregate(
         "plan", F.struct(F.lit(0).cast("long").alias("at"), F.lit(None).cast("int").alias("shard")),
         lambda s, x: F.struct(
@@ -126,7 +128,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id
     columns = ["doc_id", "size", "text_crc32", "text_key", "bucket"]
     placed = cut(ranked.join(by_bucket, (F.col("key") == F.col("pk")) & (F.col("bucket") == F.col("pb"))).select(*columns, ends.alias("shard")))
     free = cut(
-        spot.join(plan.select("key"), "key", "left_anti").select(*columns)
+        spot.join(grouped, ["key", "bucket"], "left_anti").select(*columns)
         .union(placed.where("shard < 0").select(*columns))
     )
     placed = placed.where("shard >= 0")
