@@ -1,7 +1,7 @@
 """Packing token sequences: first-fit decreasing in randomised groups.
 
 Documents are cut into pieces of a whole sequence and a rest. Pieces are dealt to groups by a hash,
-in groups of bounded expected size, and each group packs its own by first-fit decreasing: bins are
+in groups of bounded expected size (by a bound on the number of pieces), and each group packs its own by first-fit decreasing: bins are
 the leaves of a tournament tree that holds the largest free room below each node, so the first bin
 with room for a piece is found in log time. Groups know nothing of each other.
 """
@@ -78,8 +78,9 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
     row of docs lies in one piece. Groups are dealt by a hash of the id, the text's ids and the
     start, so copies of one text under different ids spread."""
     found = pieces(docs, doc_id, text, tokenizer, end_id, length, with_ids)
-    n = docs.count()
-    groups = max(1, -(-n // group))
+    # A token has a byte at least, so these are as many pieces or more.
+    most = docs.agg(F.count("*") + F.coalesce(F.floor(F.sum(F.octet_length(text)) / F.lit(length)), F.lit(0))).first()[0]
+    groups = max(1, -(-most // group))
     dealt = found.withColumn("bunch", F.pmod(F.xxhash64("doc_id", "salt", "start"), F.lit(groups)))
     out = T.StructType([*(f for f in dealt.schema if f.name not in ("salt", "bunch")), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
