@@ -21,7 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines that match an earlier one; n_chars follows the text."""
-    out = dedup_lines(docs).select(*docs.columns)
+    own = {c: f"__own_{c}" for c in ("n_lines", "n_removed") if c in docs.columns}
+    out = dedup_lines(docs.withColumnsRenamed(own)).drop("n_lines", "n_removed").withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
@@ -49,11 +50,16 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: A learned classifier and a tokenizer are beyond SQL; tests hold the stages against brute force.
+#: A learned classifier and a tokenizer are beyond SQL; tests/llm/test_pipeline.py holds the stages
+#: against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other, each written to the shared folder and read again. Empty tables
+    give no rows; null texts count as empty from packing on and null ids are kept; rows that repeat an
+    id are separate documents; further columns of documents pass through up to packing, whatever
+    their names. The stages' files stay in the shared folder."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         path = new_path(spark, f"pipeline-{i}")
