@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratelens.llm.common import append, fields, slices
+from ratelens.llm.common import append, cut, fields, slices
 
 WINDOW, SHINGLE = 10, 5
 #: Bytes of benchmark text in one block, the bound of what is broadcast.
 BLOCK_BYTES = 4 << 20
+#: Words of an item that go in one part of a block.
+PART_WORDS = 1 << 16
 #: Lower case for A-Z; every byte outside [0-9a-z] and UTF-8 sequences to a space.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _PRIME, _BLOOM = 0x9E3779B97F4A7C15, 22
@@ -175,9 +177,31 @@ def _frequencies(docs: DataFrame, text: str, index: Index) -> dict[int, np.ndarr
     return out
 
 
+def _parts(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
+    """(item, text) of different items, those of more than PART_WORDS words cut into parts that
+    overlap by WINDOW - 1 words, so that each window lies in one."""
+
+    def run(batches):
+        for b in slices(batches, 64):
+            items, parts = [], []
+            for item, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if len(t) > PART_WORDS:
+                    w = words_of(t)
+                    found = [b" ".join(w[i : i + PART_WORDS + WINDOW - 1]).decode("utf-8", "surrogatepass") for i in range(0, max(1, len(w) - WINDOW + 1), PART_WORDS)]
+                else:
+                    found = [t]
+                items += [item] * len(found)
+                parts += found
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(parts, pa.string())], names=["item", "text"])
+
+    rows = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text")).where("text is not null")
+    return cut(rows.mapInArrow(run, "item string, text string").distinct())
+
+
 def _blocks(benchmark: DataFrame, item_id: str, text: str, limit: int):
-    """The items in blocks of about `limit` bytes of text, one at a time on the driver."""
-    b = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text")).where("text is not null")
+    """The items in blocks of about `limit` bytes of text, one at a time on the driver. Repeats go and
+    long items are cut first, so that a hash splits what is left."""
+    b = _parts(benchmark, item_id, text)
     total = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // limit) or 1
     for i in range(n):

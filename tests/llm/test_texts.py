@@ -34,6 +34,11 @@ def _hits(texts, items):
         yield len(w), len(hit), sorted(found)
 
 
+def test_long_items_are_cut_without_losing_windows(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PART_WORDS", 20)
+    test_decontamination_equals_brute_force(spark, 60)
+
+
 @pytest.mark.parametrize("block", [1 << 20, 60])
 def test_decontamination_equals_brute_force(spark, block):
     rng = random.Random(4)
