@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def percentile_interval(df: DataFrame, keys: list[str], value: str, alpha: float = 0.05) -> DataFrame:
-    """keys, low, high: two-sided percentiles with linear interpolation; null and non-finite values
-    don't count."""
+def percentiles(df: DataFrame, keys: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """keys and one column for each name of `at`: that percentile of value with linear interpolation;
+    null and non-finite values don't count. Equal values are counted before the shuffle, places are
+    found by running counts, and only the two values around a place are kept; groups that repeat few
+    values move few rows."""
     v = F.col(value).cast("double")
     v = F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
-    p = F.percentile(v, F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
-    return df.groupBy(*keys).agg(p.alias("__p")).select(*keys, F.col("__p")[0].alias("low"), F.col("__p")[1].alias("high"))
+    counted = df.select(*keys, v.alias("__v")).groupBy(*keys, "__v").agg(F.count("__v").alias("__c"))
+    order = Window.partitionBy(*keys).orderBy(F.col("__v").asc_nulls_last())
+    run = counted.withColumns({"__end": F.sum("__c").over(order), "__n": F.sum("__c").over(Window.partitionBy(*keys))})
+    low, holds = lambda p: F.floor(F.lit(p) * (F.col("__n") - 1)), lambda i: (F.col("__end") - F.col("__c") <= i) & (i < F.col("__end"))
+    parts = []
+    for name, p in at.items():
+        parts += [F.max(F.when(holds(low(p)), F.col("__v"))).alias(f"__a_{name}"), F.max(F.when(holds(F.least(low(p) + 1, F.col("__n") - 1)), F.col("__v"))).alias(f"__b_{name}")]
+    found = run.groupBy(*keys).agg(F.max("__n").alias("__n"), *parts)
+    part = lambda p: F.lit(p) * (F.col("__n") - 1) - low(p)
+    return found.select(*keys, *[(F.col(f"__a_{c}") + (F.col(f"__b_{c}") - F.col(f"__a_{c}")) * part(p)).alias(c) for c, p in at.items()])
+
+
+def percentile_interval(df: DataFrame, keys: list[str], value: str, alpha: float = 0.05) -> DataFrame:
+    """keys, low, high: two-sided percentiles."""
+    return percentiles(df, keys, value, {"low": alpha / 2, "high": 1 - alpha / 2})
 
 
 def median_ratio(df: DataFrame, keys: list[str], unit: str, side: str, value: str, candidate, anchor) -> DataFrame:

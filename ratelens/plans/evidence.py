@@ -108,10 +108,9 @@ select l_returnflag, round(quantile_cont(l_extendedprice, 0.025), 6) as low, rou
   round(quantile_cont(l_extendedprice, 0.05 / 14), 6) as family_low, round(quantile_cont(l_extendedprice, 1 - 0.05 / 14), 6) as family_high
 from lineitem group by l_returnflag""")
 def percentile_interval(spark, sf_dir):
-    li = _t(spark, sf_dir, "lineitem")
-    a = statistics.percentile_interval(li, ["l_returnflag"], "l_extendedprice")
-    b = statistics.percentile_interval(li, ["l_returnflag"], "l_extendedprice", 0.05 / 7).withColumnsRenamed({"low": "family_low", "high": "family_high"})
-    return a.join(b, "l_returnflag").select("l_returnflag", *[F.round(c, 6).alias(c) for c in ("low", "high", "family_low", "family_high")])
+    at = {"low": 0.025, "high": 0.975, "family_low": 0.05 / 14, "family_high": 1 - 0.05 / 14}
+    p = statistics.percentiles(_t(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", at)
+    return p.select("l_returnflag", *[F.round(c, 6).alias(c) for c in at])
 
 
 @query("q06_median_ratio", """
