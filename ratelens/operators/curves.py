@@ -31,6 +31,8 @@ def pareto_frontier(df: DataFrame, keys: list[str], quality: str = "quality", ra
     in rate with quality. Qualities within 1e-12 are one point, the one of the least rate."""
     p = df.select(*keys, F.col(quality).cast("double").alias("quality"), F.col(rate).cast("double").alias("rate"))
     p = p.where("not isnan(quality) and abs(quality) < double('Infinity') and rate > 0 and rate < double('Infinity')")
+    # Of equal qualities only the least rate counts: summed before the windows, which see a row a quality.
+    p = p.groupBy(*keys, "quality").agg(F.min("rate").alias("rate"))
     up = Window.partitionBy(*keys).orderBy("quality", "rate")
     p = p.withColumn("__new", F.coalesce((F.col("quality") - F.lag("quality").over(up) > TIE).cast("int"), F.lit(1)))
     p = p.withColumn("__spot", F.sum("__new").over(up.rowsBetween(Window.unboundedPreceding, 0)))

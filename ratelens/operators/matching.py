@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -39,9 +39,15 @@ def completeness(expected: DataFrame, actual: DataFrame, keys: list[str]) -> Dat
 def brackets(points: DataFrame, keys: list[str], at: str, target: str) -> DataFrame:
     """points with a target column -> keys, target, low_at, high_at: the first neighbours in order
     of `at` between which the target lies."""
-    w = Window.partitionBy(*keys, target).orderBy(at)
-    p = points.select(*keys, target, F.col(at).alias("low_at"), F.lead(at).over(w).alias("high_at")).where(f"low_at <= {target} and {target} <= high_at")
-    return p.groupBy(*keys, target).agg(F.min(F.struct("low_at", "high_at")).alias("b")).select(*keys, target, "b.low_at", "b.high_at")
+    a, t = F.col(at), F.col(target)
+    g = points.groupBy(*keys, target).agg(F.max(F.when(a < t, a)).alias("__below"), F.min(F.when(a > t, a)).alias("__above"), F.count_if(a == t).alias("__on"))
+    # On a point the pair that ends there comes first; at the lowest point the one that begins there.
+    on, low = F.col("__on"), F.col("__below")
+    g = g.withColumns({
+        "low_at": F.when((on > 0) & low.isNull(), t).otherwise(low),
+        "high_at": F.when((on > 0) & (low.isNotNull() | (on > 1)), t).otherwise(F.col("__above")),
+    })
+    return g.where("low_at is not null and high_at is not null").select(*keys, target, "low_at", "high_at")
 
 
 def nearest(points: DataFrame, keys: list[str], at: str, parameter: str, target: str, log: bool = False) -> DataFrame:

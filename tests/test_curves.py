@@ -91,3 +91,19 @@ def test_completeness_both_ways(spark):
     e = spark.createDataFrame([(1,), (2,), (3,)], "k int")
     a = spark.createDataFrame([(1,), (3,), (3,), (4,)], "k int")
     assert {(r.k, r.n, r.problem) for r in matching.completeness(e, a, ["k"]).collect()} == {(2, 0, "missing"), (3, 2, "duplicate"), (4, 1, "unexpected")}
+
+
+def test_brackets_are_the_first_neighbours_around_a_target(spark):
+    from ratelens.operators import matching
+
+    points = {"a": [1.0, 2.0, 2.0, 5.0], "b": [3.0], "c": [4.0, 4.0]}
+    targets = [0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 5.0, 6.0]
+    rows = [(k, x, t) for k, xs in points.items() for x in xs for t in targets]
+    got = {(r.k, r.t): (r.low_at, r.high_at) for r in matching.brackets(spark.createDataFrame(rows, "k string, x double, t double"), ["k"], "x", "t").collect()}
+    want = {}
+    for k, xs in points.items():
+        for t in targets:
+            around = [(a, b) for a, b in zip(xs, xs[1:]) if a <= t <= b]
+            if around:
+                want[k, t] = around[0]
+    assert got == want

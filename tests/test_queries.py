@@ -51,3 +51,39 @@ def test_entry(spark):
 
 def test_names_agree():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_rows_of_queries_without_sql(spark):
+    """What SQL can't say is held against the kernels, or must hold of every row."""
+    from collections import defaultdict
+
+    from ratelens.functions import models
+
+    coded = registry.QUERIES["q33_range_coder_roundtrip"](spark, SF).collect()
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    assert {r.doc_id: r.n_bytes for r in coded} == {k: len(v) for k, v in texts.items()} and all(r.same for r in coded)
+    entropy = lambda b: -sum(n * math.log2(n / len(b)) for n in (b.count(x) for x in set(b))) / 8 if b else 0
+    assert all(entropy(texts[r.doc_id]) * 0.999 <= r.n_coded <= 1.02 * entropy(texts[r.doc_id]) + 8 for r in coded)
+
+    scores, found = defaultdict(list), {}
+    for r in spark.read.parquet(f"{SF}/part.parquet").collect():
+        scores[r.p_brand].append((int(math.floor(r.p_retailprice * 16 + 0.5)), r.p_partkey))
+    for r in registry.QUERIES["q27_segmentation_means"](spark, SF).collect():
+        found[r.p_brand, r.p_partkey] = (r.level, r.centre)
+    for brand, rows in scores.items():
+        rows.sort()
+        centres, levels = models.quantile_clusters([s for s, _ in rows])
+        assert [found[brand, k] for _, k in rows] == [(i, centres[i]) for i in levels]
+
+    tables = defaultdict(list)
+    for r in registry.QUERIES["q39_huffman_tables"](spark, SF).collect():
+        tables[r.event_type].append((r.symbol, r.n, f"{r.code:0{r.bits}b}"))
+    for rows in tables.values():
+        codes = sorted(c for _, _, c in rows)
+        assert not any(b.startswith(a) for a, b in zip(codes, codes[1:]))  # a prefix code
+        assert max(map(len, codes)) <= 16 and "1" * len(codes[-1]) != codes[-1]  # no code of ones alone
+        assert sum(2.0 ** -len(c) for c in codes) < 1
+        by_count = sorted(rows, key=lambda x: x[1])
+        assert all(len(a[2]) >= len(b[2]) for a, b in zip(by_count, by_count[1:]) if a[1] < b[1])
+
+    assert all(r.mse_y < 40 and r.n_bytes > 21 for r in registry.QUERIES["q45_baseline_images"](spark, SF).collect())
