@@ -104,22 +104,16 @@ def range_coder_roundtrip(spark, sf_dir):
     import pyarrow as pa
 
     def run(batches):
-        from collections import Counter
-
-        from ratelens.functions.models import decode_symbols, encode_symbols, normalise_counts
-
-        for b in batches:
-            rows = []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                data = (t or "").encode()
-                freq = [0] * 256
-                if data:
-                    n = Counter(data)
-                    for s, f in zip(sorted(n), normalise_counts([n[s] for s in sorted(n)])):
-                        freq[s] = f
-                coded = encode_symbols(data, freq) if data else b""
-                rows.append((d, len(data), len(coded), not data or decode_symbols(coded, len(data), freq) == data))
-            cols = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["doc_id", "n_bytes", "n_coded", "same"])
+        from ratelens.functions.lanes import decode_lanes, encode_lanes, models_of
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                b = batch.slice(at, 2048)
+                data = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
+                freq = models_of(data)
+                coded = encode_lanes(data, freq)
+                back = decode_lanes(coded, list(map(len, data)), freq)
+                sizes = [pa.array(list(map(len, x)), pa.int64()) for x in (data, coded)]
+                yield pa.RecordBatch.from_arrays([b.column(0), *sizes, pa.array([x == y for x, y in zip(data, back)])], names=["doc_id", "n_bytes", "n_coded", "same"])
 
     return _t(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_coded long, same boolean")
