@@ -56,9 +56,22 @@ def cost_table(counts: DataFrame, keys: list[str], symbol: str = "symbol", n: st
     return counts.select(*keys, F.col(symbol), (-F.log2(p)).alias("bits"))
 
 
-def differences(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
-    """df with delta to the previous value (the first: to 0), its bits and amplitude."""
-    d = df.withColumn("delta", F.col(value) - F.lag(value, 1, 0).over(Window.partitionBy(*keys).orderBy(*order)))
+def differences(df: DataFrame, keys: list[str], order: list[str], value: str, span: Column | None = None) -> DataFrame:
+    """df with delta to the previous value (the first: to 0), its bits and amplitude. With a span, a
+    column that never falls in the order, each of a key's spans is a task of its own: what the span
+    before ends with is carried over from one row a span."""
+    if span is None:
+        before = F.lag(value, 1, 0).over(Window.partitionBy(*keys).orderBy(*order))
+        d = df.withColumn("delta", F.col(value) - before)
+    else:
+        own = df.withColumn("__span", span)
+        last = own.groupBy(*keys, "__span").agg(F.max_by(value, F.struct(*order)).alias("__last"))
+        carried = F.lag("__last", 1, 0).over(Window.partitionBy(*keys).orderBy("__span"))
+        last = last.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate([*keys, "__span"])], carried.alias("__carried"))
+        met = own.join(last, [own[c].eqNullSafe(last[f"__k{i}"]) for i, c in enumerate([*keys, "__span"])])
+        inside = F.lag(value).over(Window.partitionBy(*keys, "__span").orderBy(*order))
+        first = F.row_number().over(Window.partitionBy(*keys, "__span").orderBy(*order)) == 1
+        d = met.select(*df.columns, (F.col(value) - F.when(first, F.col("__carried")).otherwise(inside)).alias("delta"))
     return d.withColumns({"bits": category(F.col("delta")), "amp": amplitude(F.col("delta"))})
 
 
@@ -83,6 +96,38 @@ def predicted_map(df: DataFrame, keys: list[str], row: str, column: str, level:
     return df.withColumn("delta", F.pmod(F.col(level) - F.coalesce(left, top, F.lit(initial)), F.lit(levels)))
 
 
+def restored_map(df: DataFrame, keys: list[str], row: str, column: str, delta: str, initial: int, levels: int) -> DataFrame:
+    """df with level, what predicted_map() took the delta of, for maps without holes: the scan goes down
+    the first column and then along each row, so it is two running sums."""
+    along = Window.partitionBy(*keys, row).orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = df.groupBy(*keys, row).agg(F.min_by(delta, column).alias("__first"))
+    down = Window.partitionBy(*keys).orderBy(row).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = ends.select(*keys, row, (F.sum("__first").over(down) - F.col("__first")).alias("__top"))  # one row a map row
+    level = F.pmod(F.lit(initial) + F.col("__top") + F.sum(delta).over(along), F.lit(levels))
+    return df.join(ends, [*keys, row]).withColumn("level", level).drop("__top")
+
+
+def mode_switches(df: DataFrame, keys: list[str], row: str, column: str, flag: str) -> DataFrame:
+    """df with delta of a map of bits: the bit XOR that of the left neighbour, else the top one, else 0."""
+    left = F.lag(flag).over(Window.partitionBy(*keys, row).orderBy(column))
+    top = F.lag(flag).over(Window.partitionBy(*keys, column).orderBy(row))
+    return df.withColumn("delta", F.col(flag).bitwiseXOR(F.coalesce(left, top, F.lit(0))))
+
+
+def adaptive_choice(df: DataFrame, keys: list[str], order: list[str], symbol: str, symbols: int) -> DataFrame:
+    """keys, n, fixed_bits, adaptive_bits and adaptive: what each model's symbols cost under its final
+    frequencies and under counts of what came before (each symbol begins with one), and whether
+    adapting saves over a bit, lest noise decide."""
+    whole, seen = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(*order)
+    own = Window.partitionBy(*keys, symbol)
+    d = df.select(
+        *keys, (F.count("*").over(own) / F.count("*").over(whole)).alias("__f"),
+        (F.row_number().over(own.orderBy(*order)) / (F.row_number().over(seen) - 1 + symbols)).alias("__a"),
+    )
+    c = d.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(-F.log2("__f")).alias("fixed_bits"), F.sum(-F.log2("__a")).alias("adaptive_bits"))
+    return c.withColumn("adaptive", (F.col("n") > 1) & (F.col("adaptive_bits") + 1 < F.col("fixed_bits")))
+
+
 def contexts(tokens: DataFrame, keys: list[str]) -> DataFrame:
     """zero_run_tokens() with band (of the position at which the token's run begins: from 6, 15, 28), active
     (previous category 3 or more; 0xF0 resets it) and model (band * 2 + active)."""

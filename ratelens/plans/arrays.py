@@ -51,7 +51,7 @@ with d as (select event_id, event_type, cast(floor(value) as bigint) - lag(cast(
 b as (select *, {_BITS.format(v='delta')} as bits from d) select event_id, event_type, delta, bits, {_AMP.format(v='delta', b='bits')} as amp from b""")
 def dc_delta(spark, sf_dir):
     e = _t(spark, sf_dir, "events").select("event_id", "event_type", "ts", F.floor("value").cast("long").alias("dc"))
-    return symbols.differences(e, ["event_type"], ["ts", "event_id"], "dc").select("event_id", "event_type", "delta", F.col("bits").cast("long").alias("bits"), "amp")
+    return symbols.differences(e, ["event_type"], ["ts", "event_id"], "dc", F.to_date("ts")).select("event_id", "event_type", "delta", F.col("bits").cast("long").alias("bits"), "amp")
 
 
 _LEVELS = """v as (select o_orderkey // 64 as block, cast(o_orderkey % 64 as integer) as pos, cast(case when o_custkey % 5 = 0 then cast(floor(o_totalprice / 1000) as bigint) % 41 - 20 else 0 end as bigint) as v from orders),
@@ -216,3 +216,32 @@ def baseline_images(spark, sf_dir):
     back = codec.decode_images(files, ["vec_id"], b"IMAGE").withColumnsRenamed({"pixels": "got", "error": "failed", "width": "w", "height": "h"})
     both = quality.pair_metrics(images.join(back, "vec_id"), ["vec_id"], "pixels", "got")
     return both.join(files.select("vec_id", F.octet_length("content").cast("long").alias("n_bytes")), "vec_id").select("vec_id", "n_bytes", F.round("mse_y", 6).alias("mse_y"), F.round("ssim", 6).alias("ssim"))
+
+
+@query("q46_map_restore", """
+with g as (select l_suppkey as r, l_linenumber as c, cast(max(l_quantity) as bigint) % 4 as level from lineitem group by all)
+select r, c, level from g""")
+def map_restore(spark, sf_dir):
+    """Maps of levels, predicted and restored: 16 suppliers a map."""
+    g = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("r"), F.col("l_linenumber").alias("c")).agg((F.max("l_quantity").cast("long") % 4).alias("level"))
+    p = symbols.predicted_map(g.withColumn("plane", F.floor(F.col("r") / 16)), ["plane"], "r", "c", "level", 1, 4).drop("level")
+    return symbols.restored_map(p, ["plane"], "r", "c", "delta", 1, 4).select("r", "c", "level")
+
+
+@query("q47_bit_map_switches", """
+with g as (select l_suppkey as r, l_linenumber as c, cast(max(l_quantity) > 45 as integer) as bit from lineitem group by all)
+select r, c, bit, xor(bit, coalesce(lag(bit) over (partition by r order by c), lag(bit) over (partition by c order by r), 0)) as delta from g""")
+def bit_map_switches(spark, sf_dir):
+    g = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("r"), F.col("l_linenumber").alias("c")).agg((F.max("l_quantity") > 45).cast("int").alias("bit"))
+    return symbols.mode_switches(g, [], "r", "c", "bit")
+
+
+@query("q48_adaptive_costs", """
+with t as (select event_type as model, cast(user_id % 16 as integer) as symbol, row_number() over (partition by event_type, user_id % 5 order by ts, event_id) - 1 as seen, count(*) over (partition by event_type) as n,
+  row_number() over (partition by event_type, user_id % 16 order by ts, event_id) - 1 as before, row_number() over (partition by event_type order by ts, event_id) - 1 as place, count(*) over (partition by event_type, user_id % 16) as uses from events),
+c as (select model, count(*) as n, sum(-log2(uses * 1.0 / n)) as fixed_bits, sum(-log2((before + 1.0) / (place + 16.0))) as adaptive_bits from t group by model)
+select model, n, round(fixed_bits, 6) as fixed_bits, round(adaptive_bits, 6) as adaptive_bits, n > 1 and adaptive_bits + 1 < fixed_bits as adaptive from c""")
+def adaptive_costs(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_type", "ts", "event_id", (F.col("user_id") % 16).cast("int").alias("symbol"))
+    c = symbols.adaptive_choice(e, ["event_type"], ["ts", "event_id"], "symbol", 16)
+    return c.select(F.col("event_type").alias("model"), "n", F.round("fixed_bits", 6).alias("fixed_bits"), F.round("adaptive_bits", 6).alias("adaptive_bits"), "adaptive")

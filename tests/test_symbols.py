@@ -147,3 +147,35 @@ def test_contiguous_and_records(spark):
     assert t["meta"].count() == 0 and t["result"].first().bytes == 99
     assert matching.contiguous(t["sample"], ["run", "codec"], "index").first().ok is False
     assert t["sample"].agg(F.sum("encode_ms")).first()[0] == 3.0
+
+
+def test_differences_over_spans_are_those_of_one_run(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from ratelens.operators import symbols
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), i * 7 % 200, rng.randrange(-50, 50)) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, at long, v long")
+    whole = symbols.differences(df, ["k"], ["at"], "v")
+    spans = symbols.differences(df, ["k"], ["at"], "v", F.floor(F.col("at") / 13))
+    assert whole.columns == spans.columns and sorted(map(str, whole.collect())) == sorted(map(str, spans.collect()))
+
+
+def test_maps_come_back(spark):
+    import random
+
+    from ratelens.operators import symbols
+
+    rng = random.Random(5)
+    rows = [(k, r, c, rng.randrange(4)) for k in range(3) for r in range(5) for c in range(6)]
+    df = spark.createDataFrame(rows, "k long, r long, c long, level long")
+    got = symbols.restored_map(symbols.predicted_map(df, ["k"], "r", "c", "level", 1, 4).drop("level"), ["k"], "r", "c", "delta", 1, 4)
+    assert sorted((x.k, x.r, x.c, x.level) for x in got.collect()) == rows
+    bits = symbols.mode_switches(df.selectExpr("k", "r", "c", "cast(level > 1 as int) as bit"), ["k"], "r", "c", "bit").collect()
+    at = {(x.k, x.r, x.c): x for x in bits}
+    for (k, r, c), x in at.items():
+        before = at.get((k, r, c - 1)) or at.get((k, r - 1, c))
+        assert x.delta == x.bit ^ (before.bit if before else 0)
