@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -93,12 +95,21 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if bytes_of(df) <= BROADCAST_BYTES else df
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers live on in other stages, where it would count."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def slices(batches, rows: int = 256):
     """Record batches cut into short ones, so that memory follows texts rather than the batch size."""
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
-    pa.default_memory_pool().release_unused()  # workers live on in other stages
+    give_back()
 
 
 def append(batch: pa.RecordBatch, keep: list[str], new: dict[str, pa.Array]) -> pa.RecordBatch:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratelens.llm.common import slices
+from ratelens.llm.common import give_back, slices
 from ratelens.llm.tokens import Encoder, default_path, lists
 
 LENGTH = 2048
@@ -85,6 +85,9 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
     out = T.StructType([*(f for f in dealt.schema if f.name not in ("salt", "bunch")), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(key, t):
+        if Encoder._made:  # this worker's tables of the stage before
+            Encoder._made.clear()
+            give_back()
         t = t.sort_by([(c, "ascending") for c in ("doc_id", "start", "ids_crc32")])
         where, offset = first_fit_decreasing(t["length"].to_numpy(), length)
         t = t.drop_columns(["salt", "bunch"])

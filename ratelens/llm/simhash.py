@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratelens.llm.common import append, cut, fields, slices, small
+from ratelens.llm.common import append, cut, fields, give_back, slices, small
 from ratelens.llm.components import connected_components
 
 #: Homes of one anchor that a single cell holds, about.
@@ -234,6 +234,7 @@ def _compare(setting: Setting):
                     found.append(forest(homes, np.ascontiguousarray(fps[n:e]), setting))
             x = np.concatenate(found)
             yield pa.RecordBatch.from_arrays([pa.array(x[:, i]) for i in range(len(names))], names=names)
+        give_back()
 
     return run, ", ".join(f"{c} long" for c in names)
 
@@ -255,6 +256,7 @@ def links(fps: DataFrame, setting: Setting = CLOSE, chunk: int = CHUNK) -> DataF
                 columns = [b.column(i).to_numpy(zero_copy_only=False) for i in range(setting.parts)]
                 anchors, rows = find(columns[0])
                 yield pa.RecordBatch.from_arrays([pa.array(anchors), *(pa.array(c[rows]) for c in columns)], names=["anchor", *names])
+            give_back()
 
         return fps.select(*names).mapInArrow(run, schema)
 
