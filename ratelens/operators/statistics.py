@@ -68,22 +68,36 @@ def drawn(n: str, *parts: str) -> Column:
     return F.expr(f"pmod(cast(conv(substring(md5(concat({text})), 1, 15), 16, 10) as bigint), {n})")
 
 
-def _placed(units: DataFrame, stratum: str, unit: str) -> DataFrame:
-    """stratum, unit, place (from 0 in the order of units) and n, the stratum's size. One row a unit."""
-    return units.select(stratum, unit).withColumns({
+#: Slots of a stratum that are drawn for together.
+CHUNK = 4096
+
+
+def _placed(units: DataFrame, stratum: str, unit: str, *more: str) -> DataFrame:
+    """stratum, unit, `more`, place (from 0 in the order of units) and n, the stratum's size. One row a unit."""
+    return units.select(stratum, unit, *more).withColumns({
         "place": F.expr(f"row_number() over (partition by {stratum} order by {unit}) - 1"), "n": F.expr(f"count(*) over (partition by {stratum})"),
     })
 
 
+def _draws(units: DataFrame, stratum: str, replicates: int) -> DataFrame:
+    """replicate, stratum, place: n draws from the places of each stratum of n units, made from the
+    strata's sizes alone, in tasks of their own however few strata there are."""
+    n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = units.groupBy(stratum).agg(F.count("*").alias("n"))
+    chunks = sizes.select(stratum, "n", F.explode(F.expr(f"sequence(0L, n - 1, {CHUNK}L)")).alias("__from")).repartition(n, stratum, "__from")
+    slots = chunks.select(stratum, "n", F.explode(F.expr(f"sequence(__from, least(__from + {CHUNK}, n) - 1)")).alias("slot"))
+    draws = slots.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    return draws.select("replicate", stratum, drawn("n", "replicate", stratum, "slot").cast("int").alias("place"))
+
+
 def stratified_draws(units: DataFrame, stratum: str, unit: str, replicates: int) -> DataFrame:
     """replicate, stratum, unit, weight: in each replicate each stratum of n units is drawn from n
     times with replacement, by a hash of (replicate, stratum, slot). Draws are counted before they
-    are joined to units, so weights follow the multinomial distribution."""
-    placed = _placed(units, stratum, unit)
-    draws = placed.select(stratum, "n", F.col("place").alias("slot")).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    draws = draws.withColumn("place", drawn("n", "replicate", stratum, "slot").cast("int"))
-    counted = draws.groupBy("replicate", stratum, "place").agg(F.count("*").alias("weight"))
-    return counted.join(placed.select(stratum, unit, "place"), [stratum, "place"]).select("replicate", stratum, unit, "weight")
+    are joined to units, so weights follow the multinomial distribution. Units are never broadcast:
+    both sides grow with them."""
+    placed = _placed(units, stratum, unit).select(stratum, unit, "place").hint("shuffle_hash")
+    counted = _draws(units, stratum, replicates).groupBy("replicate", stratum, "place").agg(F.count("*").alias("weight"))
+    return counted.join(placed, [stratum, "place"]).select("replicate", stratum, unit, "weight")
 
 
 def nested_bootstrap(samples: DataFrame, stratum: str, unit: str, block: str, index: str, candidate: str, anchor: str, blocks: int, repetitions: int, replicates: int) -> DataFrame:
@@ -104,6 +118,8 @@ def nested_bootstrap(samples: DataFrame, stratum: str, unit: str, block: str, in
 
 
 def bootstrap_means(units: DataFrame, stratum: str, unit: str, value: str, replicates: int) -> DataFrame:
-    """replicate, mean: the weighted mean of value over every replicate's draws."""
-    w = stratified_draws(units, stratum, unit, replicates)
-    return w.join(units.select(unit, value), unit).groupBy("replicate").agg((F.sum(F.col("weight") * F.col(value)) / F.sum("weight")).alias("mean"))
+    """replicate, mean: the mean of value over every replicate's draws. Each draw meets the value at
+    its place once, in a join that broadcasts neither side, and only sums are grouped."""
+    placed = _placed(units, stratum, unit, value).select(stratum, "place", value).hint("shuffle_hash")
+    met = _draws(units, stratum, replicates).join(placed, [stratum, "place"])
+    return met.groupBy("replicate").agg((F.sum(value) / F.count("*")).alias("mean"))

@@ -1,4 +1,5 @@
 import gzip
+import hashlib
 from collections import Counter
 
 import numpy as np
@@ -105,6 +106,21 @@ def test_draws_follow_the_multinomial(spark):
     assert abs(spread - np.std(np.arange(n)) / np.sqrt(2 * n)) < 0.3
 
 
+def test_bootstrap_broadcasts_no_units(spark, tmp_path):
+    """On tables small enough for Spark to broadcast: what grows with the units must not, as it would fill the driver."""
+    n = 5000  # more than a chunk of slots
+    units = spark.createDataFrame([("ab"[i % 3 == 0], i, None if i == 7 else float(i * i % 1009)) for i in range(n)], "s string, u long, v double")
+    units.write.parquet(str(tmp_path / "units"))  # so that Spark knows the size
+    units = spark.read.parquet(str(tmp_path / "units"))
+    means = statistics.bootstrap_means(units, "s", "u", "v", 2)
+    for df in (means, statistics.stratified_draws(units, "s", "u", 2)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    values = {s: [r.v for r in sorted(units.collect(), key=lambda r: r.u) if r.s == s] for s in "ab"}
+    for r in means.collect():
+        got = [v[int(hashlib.md5(f"{r.replicate}:{s}:{i}".encode()).hexdigest()[:15], 16) % len(v)] for s, v in values.items() for i in range(len(v))]
+        assert len(got) == n and abs(r["mean"] - sum(x or 0 for x in got) / n) < 1e-9
+
+
 def test_smoothing_is_a_small_mean(spark):
     rng = np.random.default_rng(0)
     x = rng.integers(0, 256, (6, 5))
