@@ -18,6 +18,8 @@ from ratelens.llm.common import cut, small
 from ratelens.llm.tokens import with_ids
 
 STRIPE_BYTES, ROW_INDEX_ROWS, BLOOM_FPP, PART_BYTES = 64 << 20, 10_000, 0.01, 128 << 20
+#: Pieces that a worker remembers: nothing else here takes much memory, and rare words recur.
+PIECES = 1_500_000
 
 
 def write_ids(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = 2, partitions: int | None = None) -> None:
@@ -33,7 +35,7 @@ def write_ids(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "t
     order = ("doc_id", F.xxhash64("text"))
     dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
     (
-        with_ids(dealt, keep=["doc_id"], path=tokenizer, end_id=end_id)
+        with_ids(dealt, keep=["doc_id"], path=tokenizer, end_id=end_id, pieces=PIECES)
         .select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("row"))
         .write.mode("errorifexists")
         .options(**{

@@ -38,6 +38,24 @@ def test_ids_equal_the_library(library, monkeypatch):
     assert e.encode_many(texts) == want and e.encode_many(texts) == want and len(e.spaced) <= 8
 
 
+def test_each_different_word_is_looked_up_once(library):
+    class Counting(dict):
+        asked = 0
+
+        def get(self, *a):
+            self.asked += 1
+            return super().get(*a)
+
+    regular = ["one two, two\nthree one\ntwo " * 50 + "end", "één twee\ntwee", "one"] * 5
+    # Among them texts that turn out odd only by their words.
+    odd = ["one  two", "one \n two", "two\n two", "é\u2003one", "one\xa0two\n", "één \n\n"]
+    e = tokens.Encoder(tokens.default_path())
+    e.plain, e.spaced = Counting(), Counting()
+    assert e.encode_many(regular) == [np.array(library(t), "<u4").tobytes() for t in regular]
+    assert e.plain.asked + e.spaced.asked < 50
+    assert e.encode_many(regular + odd) == [np.array(library(t), "<u4").tobytes() for t in regular + odd]
+
+
 def test_orc_round_trip(spark, library):
     docs = spark.createDataFrame([(97 * i % 29, t, 1) for i, t in enumerate(TEXTS)] + [(5, "again", 1), (None, "none", 1)], "doc_id long, text string, ids int").repartition(4)
     path = new_path(spark, "ids")
