@@ -91,25 +91,39 @@ def _index(n: str) -> str:
     return f"cast({n} - (2 * {NUMERATOR} * {n} + {NUMERATOR + DENOMINATOR - 1}) div {NUMERATOR + DENOMINATOR} + 1 as int)"
 
 
+def _bound(df: DataFrame, keep: list[str], name: str, value: str) -> DataFrame:
+    """keep and `name`, computed once by compiled code: Spark would paste an expression into each of
+    its uses, but not across a generator."""
+    return df.select(*keep, F.explode(F.array(F.expr(value))).alias(name))
+
+
 def _screened(lines: DataFrame, keys: list[str], rarity: list[int], hot: int) -> DataFrame:
     """keys and ln of the lines that may share a token of their prefixes with another. A line of n
     places, so of at most n tokens, sends every shingle whose first word is among the rarest that
     a prefix of n has: it holds at least as many tokens. Of two lines that match, the shorter one
     shares one of its n - ceil(8 / 9 n) + 1 rarest (index tokens), so a token that is nobody's
-    index token leads nowhere. Arrays are bound by nested lambdas, as Spark would paste them into
-    each use."""
+    index token leads nowhere. Only a word's rank, its bucket's place by rarity, takes a lambda; the
+    rest is compiled. A shingle that a line repeats is sent, and met, more than once, so such a line
+    may pass for nothing."""
     me = [*keys, "ln"]
     n = f"greatest(size(ws) - {WORDS - 1}, 1)"
-    at = lambda k: f"element_at(d, least({k}, size(d)))"
-    last = f"transform(array(sort_array(array_distinct(slice(xs, 1, {n})))), d -> named_struct('probe', {at(_prefix(n))}, 'index', {at(_index(n))}))[0]"
+    order = sorted(range(BUCKETS), key=rarity.__getitem__)
+    ranks = [0] * BUCKETS
+    for i, b in enumerate(order):
+        ranks[b] = i
+    frequent = sum(x < hot for x in rarity)
+    rank = f"get(from_json('{json.dumps(ranks)}', 'array<int>'), cast(xxhash64(w) & {BUCKETS - 1} as int))"
+    rows = _bound(lines.select(*me, "line"), me, "ws", _words("line"))
+    rows = _bound(rows, [*me, "ws"], "xs", f"transform(slice(ws, 1, {n}), w -> {rank})")
+    rows = _bound(rows, [*me, "ws", "xs"], "d", "sort_array(array_distinct(xs))")
+    at = lambda k: F.expr(f"element_at(d, least({k}, size(d)))")
+    rows = rows.select(*me, "ws", "xs", at(_prefix(n)).alias("most"), at(_index(n)).alias("index"))
+    rows = rows.select(*me, "ws", "most", "index", F.posexplode("xs").alias("i", "x")).where("x <= most")
     token = f"xxhash64({', '.join(f'get(ws, i + {j})' for j in range(WORDS))})"
-    # Bit 0 marks a frequent first word, whose tokens have the salt in the next bits but one, bit 1 what
-    # is no index token: a row is a hash and a line.
+    # Bit 0 marks a frequent first word, whose tokens have the salt in the next bits but one.
     salt = f"shiftleft(pmod(xxhash64({', '.join(me)}), {SALTS}L), 2)"
-    marked = f"(if(shiftright(get(xs, i), {BITS}) >= {hot}, ({token} & {~(4 * SALTS - 1)}L) | {salt} | 1L, {token} & -4L) | if(get(xs, i) <= last.index, 0L, 2L))"
-    sent = f"transform(array({last}), last -> array_distinct(transform(filter(sequence(0, {n} - 1), i -> get(xs, i) <= last.probe), i -> {marked})))[0]"
-    tokens = f"transform(array({_words('line')}), ws -> transform(array({_ranked('ws', rarity)}), xs -> {sent})[0])[0]"
-    rows = lines.select(*me, F.explode(F.expr(tokens)).alias("v")).select(*me, F.expr("v & -3L").alias("token"), F.expr("v & 2L").alias("probe"))
+    marked = f"if(x >= {frequent}, ({token} & {~(4 * SALTS - 1)}L) | {salt} | 1L, {token} & -4L)"
+    rows = rows.select(*me, F.expr(marked).alias("token"), F.expr("if(x <= index, 0L, 2L)").alias("probe"))
     w = Window.partitionBy("token").orderBy("probe", *me)
     met = rows.withColumns({"least": F.first("probe").over(w), "rank": F.row_number().over(w), "next": F.lead("ln").over(w)})
     return met.where("least = 0 and (rank > 1 or next is not null) or token & 1 = 1").select(*me).distinct()

@@ -284,6 +284,14 @@ def test_line_dedup_is_native(spark):
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
 
 
+def test_screen_interprets_only_ranks(spark):
+    """Lambdas are interpreted: but for each word's rank, the screen's arrays are compiled, with each bound once."""
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "a b c d e f g h i j k"), (3, "q r s t u v w x y z")], "__d long, text string")
+    found = line_dedup._screened(line_dedup._lines(docs, ["__d"]), ["__d"], *line_dedup.word_rarity(docs))
+    assert sorted(r["__d"] for r in found.collect()) == [1, 2]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("lambdafunction") == 1
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(200, 200)]
     root = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
