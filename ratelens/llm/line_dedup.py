@@ -10,15 +10,15 @@ shuffle, so that a hot line is one row a task, and only the earliest of each tak
 Tokens are ordered by rarity. A word's rarity is read from a table of fixed size that counts, over
 all documents, the pieces between spaces in each hash bucket; a shingle is as rare as its first
 word, which bounds how often it occurs. Lines that match share one of their n - ceil(0.8 n) + 1
-rarest tokens (prefix filter), are of similar length, have enough tokens left after each shared one
-(position filter), and differ by few enough bits of a parity sketch of their sets.
+rarest tokens (prefix filter), are of similar length, and differ by few enough bits of a parity
+sketch of their sets.
 
 Few lines share anything. So a screen comes first: each line sends the shingles of its rarest
 words, enough of them to hold its prefix, as bare hashes, and only lines that meet another under
-one of them go on to the join, which takes exact sets, prefixes and sketches. A line is verified
-against the earliest lines that it meets, and only lines still without a match against all others
-that the filters leave, so groups of near copies cost about a comparison a line. Verification
-compares the lines' whole sets, as hashes of 53 bits and the rarity of the first word (odds under
+one of them go on, with the tokens under which they met. Exact sets and sketches are made of these
+lines alone. A line is verified against the earliest lines that it meets, and only lines still
+without a match against all others that the filters leave, so groups of near copies cost about a
+comparison a line. Verification compares the lines' whole sets, as hashes of 64 bits (odds under
 10^-11 for a pair that one hash misleads).
 
 Tokens that may be frequent are dealt by a salt as well, in tasks of bounded size.
@@ -38,9 +38,8 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5
 #: Size of the rarity table, steps for each doubling of a count, salts; a token is salted if its first
 #: word's bucket has more than HOT pieces and more than one in HOT_SHARE of all.
 BUCKETS, STEPS, SALTS, HOT, HOT_SHARE = 16_384, 16, 64, 200_000, 1024
-#: 64-bit words of a set's parity sketch, bits of a hash below the rarity in a token.
-SKETCH, BITS = 2, 53
-_LOW = (1 << BITS) - 1
+#: 64-bit words of a set's parity sketch.
+SKETCH = 2
 
 
 def _level(count: int) -> int:
@@ -76,12 +75,6 @@ def _words(line: str) -> str:
     return f"if(contains({line}, '  ') or startswith({line}, ' ') or endswith({line}, ' '), array_remove(split({line}, ' '), ''), split({line}, ' '))"
 
 
-def _ranked(words: str, rarity: list[int]) -> str:
-    """Of each word its rarity above the low bits of its hash."""
-    table = f"from_json('{json.dumps([x << BITS for x in rarity])}', 'array<bigint>')"
-    return f"transform(transform({words}, w -> xxhash64(w)), h -> get({table}, cast(h & {BUCKETS - 1} as int)) | (h & {_LOW}L))"
-
-
 def _prefix(n: str) -> str:
     return f"cast({n} - ({NUMERATOR} * {n} + {DENOMINATOR - 1}) div {DENOMINATOR} + 1 as int)"
 
@@ -98,7 +91,8 @@ def _bound(df: DataFrame, keep: list[str], name: str, value: str) -> DataFrame:
 
 
 def _screened(lines: DataFrame, keys: list[str], rarity: list[int], hot: int) -> DataFrame:
-    """keys and ln of the lines that may share a token of their prefixes with another. A line of n
+    """keys and ln of the lines that may share a token of their prefixes with another, and an array
+    of the tokens that they may share. A line of n
     places, so of at most n tokens, sends every shingle whose first word is among the rarest that
     a prefix of n has: it holds at least as many tokens. Of two lines that match, the shorter one
     shares one of its n - ceil(8 / 9 n) + 1 rarest (index tokens), so a token that is nobody's
@@ -112,7 +106,8 @@ def _screened(lines: DataFrame, keys: list[str], rarity: list[int], hot: int) ->
     for i, b in enumerate(order):
         ranks[b] = i
     frequent = sum(x < hot for x in rarity)
-    rank = f"get(from_json('{json.dumps(ranks)}', 'array<int>'), cast(xxhash64(w) & {BUCKETS - 1} as int))"
+    # Arrays that can't hold nulls are sorted as primitives.
+    rank = f"coalesce(get(from_json('{json.dumps(ranks)}', 'array<int>'), cast(xxhash64(w) & {BUCKETS - 1} as int)), 0)"
     rows = _bound(lines.select(*me, "line"), me, "ws", _words("line"))
     rows = _bound(rows, [*me, "ws"], "xs", f"transform(slice(ws, 1, {n}), w -> {rank})")
     rows = _bound(rows, [*me, "ws", "xs"], "d", "sort_array(array_distinct(xs))")
@@ -126,16 +121,15 @@ def _screened(lines: DataFrame, keys: list[str], rarity: list[int], hot: int) ->
     rows = rows.select(*me, F.expr(marked).alias("token"), F.expr("if(x <= index, 0L, 2L)").alias("probe"))
     w = Window.partitionBy("token").orderBy("probe", *me)
     met = rows.withColumns({"least": F.first("probe").over(w), "rank": F.row_number().over(w), "next": F.lead("ln").over(w)})
-    return met.where("least = 0 and (rank > 1 or next is not null) or token & 1 = 1").select(*me).distinct()
+    return met.where("least = 0 and (rank > 1 or next is not null) or token & 1 = 1").groupBy(*me).agg(F.collect_set("token").alias("tokens"))
 
 
-def _sets(docs: DataFrame, asked: DataFrame, keys: list[str], rarity: list[int]) -> DataFrame:
-    """For the lines asked for: n, the sorted set of tokens ts, and a sketch of it: the parity of how
-    many fall in each of SKETCH * 64 bins. Sets differ by no fewer elements than their sketches by
-    bits. A token is 10 bits of rarity above a hash."""
+def _sets(docs: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """For the lines asked for: n, the set of tokens ts, and a sketch of it: the parity of how many fall
+    in each of SKETCH * 64 bins. Sets differ by no fewer elements than their sketches by bits."""
     rest = ", ".join(f"get(xs, i + {j})" for j in range(1, WORDS))
-    shingles = f"transform(slice(xs, 1, greatest(size(xs) - {WORDS - 1}, 1)), (x, i) -> (x & {~_LOW}L) | (xxhash64(x, {rest}) & {_LOW}L))"
-    ts = f"transform(array({_ranked(_words('line'), rarity)}), xs -> sort_array(array_distinct({shingles})))"
+    shingles = f"transform(slice(xs, 1, greatest(size(xs) - {WORDS - 1}, 1)), (x, i) -> xxhash64(x, {rest}))"
+    ts = f"transform(array(transform({_words('line')}, w -> xxhash64(w))), xs -> array_distinct({shingles}))"
     bits = ", ".join(f"'b{j}', aggregate(ts, 0L, (a, x) -> if((shiftright(x, 6) & {SKETCH - 1}) = {j}, a ^ shiftleft(1L, cast(x & 63 as int)), a))" for j in range(SKETCH))
     lines = _lines(docs.join(small(asked), keys), keys, "__asked")
     return lines.select(*keys, "ln", F.expr(f"inline(transform({ts}, ts -> named_struct('n', size(ts), {bits}, 'ts', ts)))"))
@@ -179,16 +173,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, me: list[str]) -> DataFrame:
     return found
 
 
-def _near(n: str, pos: str, own: list[str], m: str, at: str, theirs: list[str]) -> str:
-    """Length, prefix, position and sketch filters; positions count from 1 in each sorted set. Sets
-    that overlap by t share a token among the first n - t + 1 and m - t + 1."""
-    most = NUMERATOR + DENOMINATOR
+def _near(n: str, own: list[str], m: str, theirs: list[str]) -> str:
+    """Length and sketch filters."""
     bits = " + ".join(f"bit_count({a} ^ {b})" for a, b in zip(own, theirs))
-    t = f"(({NUMERATOR} * ({n} + {m}) + {most - 1}) div {most})"
     return (
-        f"{n} * {DENOMINATOR} >= {m} * {NUMERATOR} and {m} * {DENOMINATOR} >= {n} * {NUMERATOR} and {pos} <= {n} - {t} + 1 and {at} <= {m} - {t} + 1"
-        f" and 1 + least({n} - {pos}, {m} - {at}) + least({pos} - 1, {at} - 1) >= {t}"
-        f" and ({bits}) * {most} <= {DENOMINATOR - NUMERATOR} * ({n} + {m})"
+        f"{n} * {DENOMINATOR} >= {m} * {NUMERATOR} and {m} * {DENOMINATOR} >= {n} * {NUMERATOR}"
+        f" and ({bits}) * {NUMERATOR + DENOMINATOR} <= {DENOMINATOR - NUMERATOR} * ({n} + {m})"
     )
 
 
@@ -197,31 +187,34 @@ def matched_lines(docs: DataFrame, keys: list[str], copies: DataFrame) -> DataFr
     spark, me = docs.sparkSession, [*keys, "ln"]
     rarity, hot = word_rarity(docs)
     lines = _lines(docs.join(small(_by_document(copies, keys, "__gone")), keys, "left"), keys, _without("__gone"))
-    asked = _by_document(_screened(lines, keys, rarity, hot), keys, "__asked")
-    sets, path = stash(_sets(docs, asked, keys, rarity), "line-sets")
+    screened, path0 = stash(_screened(lines, keys, rarity, hot), "line-screen")
+    sets, path = stash(_sets(docs, _by_document(screened.select(*me), keys, "__asked"), keys), "line-sets")
 
     sketch = [f"b{j}" for j in range(SKETCH)]
-    sent = sets.select(*me, "n", *sketch, F.posexplode(F.slice("ts", F.lit(1), F.expr(_prefix("n")))).alias("pos", "token")).withColumn("pos", F.col("pos") + 1)
-    sent = sent.withColumn("salt", F.when(F.shiftright("token", BITS) >= hot, F.pmod(F.xxhash64(*me), F.lit(SALTS)).cast("int")).otherwise(F.lit(-1)))
+    salted, low = F.col("t").bitwiseAND(F.lit(1)) == 1, 4 * SALTS - 1
+    sent = screened.select(*me, F.explode("tokens").alias("t")).select(
+        *me, F.when(salted, F.col("t").bitwiseAND(F.lit(~low)).bitwiseOR(F.lit(1))).otherwise(F.col("t")).alias("token"),
+        F.when(salted, F.shiftright(F.col("t").bitwiseAND(F.lit(low)), 2).cast("int")).otherwise(F.lit(-1)).alias("salt"),
+    ).join(small(sets.select(*me, "n", *sketch)), me)
     w = Window.partitionBy("token", "salt").orderBy(*me)
-    lead = F.first(F.struct(*me, "n", "pos", *sketch)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    lead = F.first(F.struct(*me, "n", *sketch)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     met = sent.withColumns({"lead": lead, "rank": F.row_number().over(w), "next": F.lead("n").over(w)})
     met, path2 = stash(met.where("rank > 1 or next is not null or salt >= 0").drop("rank", "next"), "line-met")
     # Salted tokens: the first of all salts leads, singles go.
     whole = cut(met.where("salt >= 0").groupBy("token").agg(F.min("lead").alias("least"), F.count("*").alias("c")))
     met = met.join(small(whole), "token", "left").where("c is null or c > 1").withColumn("lead", F.coalesce("least", "lead")).drop("least", "c", "salt")
 
-    led = met.where(F.struct(*me) > F.struct(*[F.col(f"lead.{c}") for c in me])).where(_near("n", "pos", sketch, "lead.n", "lead.pos", [f"lead.{b}" for b in sketch]))
+    led = met.where(F.struct(*me) > F.struct(*[F.col(f"lead.{c}") for c in me])).where(_near("n", sketch, "lead.n", [f"lead.{b}" for b in sketch]))
     matched = _verified(led.select(*me, *[F.col(f"lead.{c}").alias(f"p_{c}") for c in me]), sets, me)
 
     # What is still open against all earlier lines under each token.
     earlier = " or ".join("(" + " and ".join([f"p_{c} = {c}" for c in me[:i]] + [f"p_{me[i]} < {me[i]}"]) + ")" for i in range(len(me)))
-    theirs = met.select("token", *[F.col(c).alias(f"p_{c}") for c in (*me, "n", "pos", *sketch)])
+    theirs = met.select("token", *[F.col(c).alias(f"p_{c}") for c in (*me, "n", *sketch)])
     open_ = met.drop("lead").join(small(matched), me, "left_anti")
-    near = _near("n", "pos", sketch, "p_n", "p_pos", [f"p_{b}" for b in sketch])
+    near = _near("n", sketch, "p_n", [f"p_{b}" for b in sketch])
     pairs = open_.join(theirs.withColumnRenamed("token", "p_token"), (F.col("token") == F.col("p_token")) & F.expr(f"({earlier}) and {near}"))
     found = cut(matched.union(_verified(pairs, sets, me)).distinct())
-    for p in (path, path2):
+    for p in (path0, path, path2):
         unstash(spark, p)
     return found
 
